@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import bitplanes, packing, quality, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op7_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.bitplane_query(_documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(_documents(spark, sf_dir))
 
@@ -22,6 +30,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_packing": op6_packing,
+    "op7_bitplanes": op7_bitplanes,
     "op8_quality_rules": op8_quality_rules,
     "op10_simhash": op10_simhash,
 }

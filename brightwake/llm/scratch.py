@@ -29,7 +29,9 @@ def shared_root(spark: SparkSession) -> str:
         if sc.applicationId not in _local_root:
             _local_root[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="brightwake-")
         root = _local_root[sc.applicationId]
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+    if root.startswith("/"):
+        return f"file://{root}"
+    return root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
 
 
 def new_path(spark: SparkSession, label: str) -> str:
