@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, packing, quality, separators, simhash
+from . import bitplanes, packing, pii, quality, separators, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(_documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_query(_documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_separators": op3_separators,
+    "op4_pii": op4_pii,
     "op6_packing": op6_packing,
     "op7_bitplanes": op7_bitplanes,
     "op8_quality_rules": op8_quality_rules,

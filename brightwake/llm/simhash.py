@@ -33,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, new_path, written
@@ -118,15 +118,18 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _dense_links(members: DataFrame) -> DataFrame:
     """Links inside very large buckets, in a number of rows that is linear in their size."""
-    pieces = []
-    for t, mask in enumerate(covering_masks()):
+
+    def flips(patterns: list[int], core: bool) -> Column:
+        return F.transform(F.array(*map(F.lit, patterns)), lambda x: F.struct(x.cast("long").alias("x"), F.lit(core).alias("core")))
+
+    def near(t: int, mask: int) -> DataFrame:
         free = [1 << bit for bit in range(64) if not mask >> bit & 1]
-        ones = [_signed(x) for x in free]
-        twos = [_signed(x | y) for i, x in enumerate(free) for y in free[:i]]
-        flips = F.explode(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(True).alias("core"))), *(F.transform(F.array(*map(F.lit, xs)), lambda x, core=core: F.struct(x.cast("long").alias("x"), F.lit(core).alias("core"))) for xs, core in ((ones, True), (twos, False)))))
-        own = members.where(F.col("t") == t).select("t", "fp", flips.alias("f"))
-        pieces.append(own.select("t", "fp", F.col("fp").bitwiseXOR(F.col("f.x")).alias("v"), F.col("f.core").alias("core")))
-    reached = reduce(DataFrame.union, pieces)
+        within_one = [0, *map(_signed, free)]
+        at_two = [_signed(x | y) for i, x in enumerate(free) for y in free[:i]]
+        own = members.where(F.col("t") == t).select("t", "fp", F.explode(F.concat(flips(within_one, True), flips(at_two, False))).alias("f"))
+        return own.select("t", "fp", F.col("fp").bitwiseXOR(F.col("f.x")).alias("v"), F.col("f.core").alias("core"))
+
+    reached = reduce(DataFrame.union, [near(t, mask) for t, mask in enumerate(covering_masks())])
     core = reached.where("core").groupBy("t", "v").agg(F.min("fp").alias("b"))
     return reached.join(core, ["t", "v"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
