@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, packing, pii, quality, separators, simhash, toxicity
+from . import bitplanes, langid, packing, pii, quality, separators, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(_documents(spark, sf_dir))
 
 
+def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_query(_documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(_documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_bitplanes": op7_bitplanes,
     "op8_quality_rules": op8_quality_rules,
+    "op9_string_kernel": op9_string_kernel,
     "op10_simhash": op10_simhash,
 }
 
