@@ -1,8 +1,8 @@
 """Token ids of whole texts, by a tokenizer file of the tokenizers library.
 
-The tokenizer splits a text into pieces by a fixed pattern and encodes each
-piece on its own, so each distinct piece is given to the library once per
-worker and its ids are kept, up to a bounded number of pieces. Texts with
+The tokenizer splits a text into pieces by a fixed pattern (none has white space)
+and encodes each piece on its own, so each distinct word is given to the
+library's model once per worker and its ids are kept, up to a bounded number. Texts with
 characters outside a plain set (where the library's normaliser could act in ways
 other than lower-casing), or with the opening of a special token, go to the
 library whole. Both ways give the library's ids.
@@ -22,36 +22,53 @@ END_ID = 2
 #: Fixed value: the tokenizer file's own split pattern, for the plain set of characters below.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭį]+|[0-9]|[^\sa-z0-9ßà-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭį]+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-į]*")
-#: Pieces kept in a worker.
-KEPT_PIECES = 1_000_000
+#: Words kept in a worker, twice: those met lately, and those before them.
+KEPT_WORDS = 400_000
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte: itself if it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
+class _Words(dict):
+    """Ids of words without white space, as bytes; what is missing is encoded, and the oldest half goes when it is full."""
+
+    def __init__(self, model, kept: int) -> None:
+        super().__init__()
+        self._model, self._kept, self._older = model, kept, {}
+        self._letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._older.get(word)
+        if ids is None:
+            pieces = _PIECES.findall(word)
+            ids = self._piece(word) if pieces == [word] else b"".join([self[p] if p != word else self._piece(p) for p in pieces])
+        if len(self) >= self._kept:
+            self._older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join([self._letters[b] for b in piece.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(shown)])
 
 
 class TextEncoder:
     """Encodes texts to little-endian 32-bit ids."""
 
-    def __init__(self, path: str | None = None, kept: int = KEPT_PIECES) -> None:
+    def __init__(self, path: str | None = None, kept: int = KEPT_WORDS) -> None:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self._of: dict[str, bytes] = {}
-        self._kept = kept
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._words = _Words(self.tokenizer.model, kept)
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text, as bytes."""
         if _PLAIN.fullmatch(text) is None or "<|" in text:
-            return self._library([text])[0]
-        pieces = _PIECES.findall(text.lower())
-        known = self._of
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            if len(known) + len(new) > self._kept:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            known.update(zip(new, self._library(new), strict=True))
-            return b"".join(map(known.__getitem__, pieces))
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self._words.__getitem__, text.lower().split()))
 
 
 _encoders: dict[str | None, TextEncoder] = {}
