@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, langid, packing, pii, quality, separators, simhash, toxicity
+from . import bitplanes, langid, mixing, packing, pii, quality, separators, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_query(_documents(spark, sf_dir))
 
 
+def op5_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_query(_documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_separators": op3_separators,
     "op4_pii": op4_pii,
+    "op5_entropy_balance": op5_entropy_balance,
     "op6_packing": op6_packing,
     "op7_bitplanes": op7_bitplanes,
     "op8_quality_rules": op8_quality_rules,
