@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, langid, mixing, packing, pii, quality, separators, simhash, toxicity
+from . import bitplanes, langid, media, mixing, packing, pii, quality, separators, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_query(_documents(spark, sf_dir))
+
+
 def op3_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(_documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_media_sniffing": op2_media_sniffing,
     "op3_separators": op3_separators,
     "op4_pii": op4_pii,
     "op5_entropy_balance": op5_entropy_balance,

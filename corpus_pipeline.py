@@ -1,4 +1,9 @@
-"""Document pipeline, from raw documents to packed training sequences."""
+"""Document pipeline, from raw documents to packed training sequences.
+
+Each stage takes all rows its predecessor kept. Stages pass null columns, empty
+and very long texts, repeated rows, empty tables and extra columns on as their
+operators define (see their modules).
+"""
 
 from __future__ import annotations
 
@@ -6,18 +11,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightwake.llm import simhash
+from brightwake.llm import mixing, packing, pii, simhash, toxicity
 from brightwake.llm.scratch import written
 from brightwake.session import ship
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    ship(spark)
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
+    ship(spark)
     return simhash.keep_one_per_component(docs)
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind."""
+    ship(spark)
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it."""
+    ship(spark)
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    ship(spark)
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("simhash_near_dedup", near_dedup),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: The stages learn, hash and pack; SQL cannot express them. Tests compare with brute force.
@@ -26,7 +60,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read back before the next stage."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
