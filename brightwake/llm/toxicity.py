@@ -41,7 +41,7 @@ GRAMS = (3, 4, 5, 6)
 WINDOW = 6
 #: Words of the windows that the first round takes as they come.
 FIRST = 96
-SAMPLE = 1500
+SAMPLE = 1200
 #: Clean documents for each toxic one.
 CLEAN = 3
 ROUNDS = 4
@@ -64,6 +64,11 @@ def words(text: str | None) -> list[str]:
 
 def bags(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows of the words' n-grams, word after word, and the number of rows of each word."""
+    parts = [_bags(of[at : at + 10_000]) for at in range(0, len(of), 10_000)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _bags(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w.strip(_EDGES) or w}>" for w in of]
     sizes = np.array([len(w) for w in marked])
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -79,20 +84,20 @@ def bags(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n in GRAMS:
             whole = np.arange(reach) + n <= stop[:reach]
             h = (rolled[whole] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            rows.append((h >> np.uint64(64 - 17)).astype(np.int64))
+            rows.append((h >> np.uint64(64 - 17)).astype(np.int32))
             owners.append(owner[:reach][whole])
     row, own = np.concatenate(rows), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    return row[order], np.bincount(own, minlength=len(of))
+    return row[order], np.bincount(own, minlength=len(of)).astype(np.int32)
 
 
 def _means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    starts = np.cumsum(counts) - counts
+    starts = np.cumsum(counts, dtype=np.int64) - counts
     return np.add.reduceat(values, starts, axis=0) / (counts[:, None] if values.ndim > 1 else counts)
 
 
 def _scattered(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], axis=1)
+    return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
 
 def top_window(word_logits: np.ndarray) -> tuple[float, int]:
@@ -160,7 +165,7 @@ def _epoch(state: dict, row: np.ndarray, counts: np.ndarray, word: np.ndarray, s
     p[np.arange(len(y)), y] -= 1
     dz = p * weight[:, None]
     d_hidden = dz @ W.T / sizes[:, None]
-    d_vectors = _scattered(word, np.repeat(d_hidden, sizes, axis=0), len(counts)) / counts[:, None]
+    d_vectors = _scattered(word, np.repeat(d_hidden, sizes, axis=0), len(counts)) / counts[:, None].astype(np.float32)
     grads = {"E": _scattered(row, np.repeat(d_vectors, counts, axis=0), len(E)) + DECAY * E, "W": hidden.T @ dz + DECAY * W, "b": dz.sum(axis=0)}
     for name, g in grads.items():
         m = state["m" + name]
@@ -178,24 +183,24 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     for text, label in zip(texts, toxic, strict=True):
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
         if ids:
-            docs.append(np.array(ids))
+            docs.append(np.array(ids, np.int32))
             labels.append(label)
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return Model(np.zeros(ROWS), 0.0, 0.0, -500.0)
     row, counts = bags(list(vocabulary))
-    begins = np.cumsum(counts) - counts
-    state = {"E": rng.normal(0, 0.05, (ROWS, DIM)), "W": rng.normal(0, 0.3, (DIM, 2)), "b": np.zeros(2)}
+    begins = np.cumsum(counts, dtype=np.int64) - counts
+    state = {"E": rng.normal(0, 0.05, (ROWS, DIM)).astype(np.float32), "W": rng.normal(0, 0.3, (DIM, 2)), "b": np.zeros(2)}
     state |= {"m" + name: np.zeros_like(state[name]) for name in ("E", "W", "b")}
 
     def folded() -> Model:
         direction = state["W"][:, 1] - state["W"][:, 0]
-        return Model(state["E"] @ direction, float(state["b"][1] - state["b"][0]))
+        return Model((state["E"] @ direction.astype(np.float32)), float(state["b"][1] - state["b"][0]))
 
     def random_windows(k: int, size: int) -> list[tuple[int, int, int]]:
         return [(d, int(rng.integers(max(1, len(ids) - size + 1))), size) for d, ids in enumerate(docs) for _ in range(k)]
 
-    chosen = random_windows(2, FIRST)
+    chosen = random_windows(1, FIRST)
     clean_windows = [w for w in random_windows(2, WINDOW) if not y[w[0]]]
     tops: list[float] = []
     for turn in range(ROUNDS + 1):
@@ -245,9 +250,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(sample / max(1, sizes.get(1, 0)))).otherwise(F.lit(CLEAN * sample / max(1, sizes.get(0, 0))))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share).limit(2 * (1 + CLEAN) * sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    found = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.toLocalIterator()))
+    return fit([f[1] for f in found], [f[2] for f in found])
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
