@@ -1,3 +1,4 @@
 """Importing this module registers all of the engine's own queries."""
 
+from .functions import dates, text, urls  # noqa: F401
 from .operators import aggregates, filters, ranking  # noqa: F401
