@@ -1,7 +1,7 @@
 """Token counts by a separator scan of flat, unindexed token files.
 
-A flat file is nothing but little-endian 32-bit ids with an end-of-document id
-after each document. Files are cut into blocks of a fixed number of ids that are
+A flat file is nothing but little-endian ids of a fixed width (16 bits hold the
+vocabulary) with an end-of-document id after each document. Files are cut into blocks of a fixed number of ids that are
 scanned independently: one vectorised comparison finds the separators of a
 block. A prefix scan over the blocks' summaries (separators before the block,
 last separator before it) then stitches documents that span blocks, so a
@@ -29,6 +29,7 @@ from .tokens import encoder
 #: One above the tokenizer's largest id, so no text contains it.
 SEPARATOR = 49_408
 BLOCK = 1 << 20
+WIDTH = "<u2"
 _SCAN = "path string, block long, length long, seps array<long>"
 
 
@@ -37,14 +38,14 @@ def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, tokeniz
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([separator], "<u4").tobytes()
+        encode, end = encoder(tokenizer).encode, np.array([separator], WIDTH).tobytes()
         out, n = None, 0
         for batch in batches:
             if out is None and batch.num_rows:
                 path = part_uri(folder, ".ids")
                 out = create(path)
             for text in batch.column(1):
-                out.write(encode(text.as_py()) + end)
+                out.write(np.frombuffer(encode(text.as_py()), "<u4").astype(WIDTH).tobytes() + end)
             if batch.num_rows:
                 ordinals = pa.array(range(n, n + batch.num_rows), pa.int64())
                 n += batch.num_rows
@@ -58,12 +59,13 @@ def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, tokeniz
 def scan_blocks(paths: DataFrame, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
     """(path, block, length, seps) of every block of the files; ``seps`` are positions in the file."""
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    octets = np.dtype(WIDTH).itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with open_for_reading(path) as f:
-                    blocks = range(-(-(f.size() // 4) // block))
+                    blocks = range(-(-(f.size() // octets) // block))
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(blocks), pa.string()), pa.array(blocks, pa.int64())], names=["path", "block"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,9 +73,9 @@ def scan_blocks(paths: DataFrame, separator: int = SEPARATOR, block: int = BLOCK
             found = []
             for path, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with open_for_reading(path) as f:
-                    f.seek(4 * block * k)
-                    data = f.read(4 * block)
-                ids = np.frombuffer(data[: len(data) // 4 * 4], "<u4")
+                    f.seek(octets * block * k)
+                    data = f.read(octets * block)
+                ids = np.frombuffer(data[: len(data) // octets * octets], WIDTH)
                 found.append((path, k, len(ids), (np.flatnonzero(ids == separator) + block * k)))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], names=["path", "block", "length", "seps"])
