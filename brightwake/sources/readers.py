@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RECORD = "struct<title:string,url:string,date_text:string,activity_date:string,activity_date_end:string,source:string,source_url:string,collected_at:string,description:string>"
-ARCHIVE = T._parse_datatype_string(f"source_url string, collected_at string, raw_file string, records array<{RECORD}>")
+FIELDS = ("title", "url", "date_text", "activity_date", "activity_date_end", "source", "source_url", "collected_at", "description")
+ARCHIVE = "source_url string, collected_at string, raw_file string, records array<struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">>"
 
 
 def raw_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,7 +15,7 @@ def raw_archives(spark: SparkSession, folder: str) -> DataFrame:
     files = files.where(~F.col("_metadata.file_name").eqNullSafe("metadata.json"))
     each = files.select("source_url", "collected_at", F.explode("records").alias("r"))
     inherited = {c: F.coalesce(F.col(f"r.{c}"), F.col(c)) for c in ("source_url", "collected_at")}
-    return each.select(*(inherited.get(f.name, F.col(f"r.{f.name}")).alias(f.name) for f in T._parse_datatype_string(RECORD).fields))
+    return each.select(*(inherited.get(f, F.col(f"r.{f}")).alias(f) for f in FIELDS))
 
 
 def sheet_rows(spark: SparkSession, path: str, sheet: str) -> DataFrame:
