@@ -56,7 +56,7 @@ def _cells(text: str) -> np.ndarray | None:
     kept = letter.copy()
     kept[1:] |= letter[:-1]  # the first of each run of other characters
     runs = np.where(letter, codes, np.uint32(32))[kept].astype(np.uint64)
-    runs = np.concatenate([np.array([32], np.uint64), runs, np.array([32], np.uint64)])
+    runs = np.concatenate([np.array([32], np.uint64), runs[int(runs[0] == 32) : len(runs) - int(runs[-1] == 32)], np.array([32], np.uint64)])
     out, rolled = [], np.zeros(len(runs), np.uint64)
     for n in range(1, ORDERS + 1):
         if len(runs) < n:

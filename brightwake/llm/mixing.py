@@ -76,7 +76,7 @@ def solve(histogram: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
 
     ``histogram`` has (source, size, n); ``aims`` has (source, target, n_docs, source_size).
     """
-    state = aims.select("source", "target", (F.col("source_size") / F.greatest("n_docs", F.lit(1))).alias("mean"), F.lit(0.0).alias("x"), F.lit(-REACH).alias("low"), F.lit(REACH).alias("high"))
+    state = aims.select("source", "target", F.when(F.col("source_size") > 0, F.col("source_size") / F.col("n_docs")).otherwise(1.0).alias("mean"), F.lit(0.0).alias("x"), F.lit(-REACH).alias("low"), F.lit(REACH).alias("high"))
     state = written(state, "mix-dual")
     for _ in range(STEPS):
         s = state.select(F.col("source").alias("s"), "mean", "x")
@@ -107,7 +107,7 @@ def planned(docs: DataFrame) -> DataFrame:
     duals = solve(histogram, aims)
     told = aims.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s")
     z = F.col("x") * F.col("size") / F.col("mean")
-    rate = F.when(F.col("mean") <= 0, 1.0).when(z >= F.log(F.lit(CAP)), F.lit(CAP)).otherwise(F.exp(z))
+    rate = F.when(z >= F.log(F.lit(CAP)), F.lit(CAP)).otherwise(F.exp(z))
     # The sources' table is small beside the documents, but its size has no bound: the join is left to Spark, which splits a hot source.
     rated = sized.join(told, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     chunk = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.ceil(F.col("n_docs") / CHUNK))

@@ -73,6 +73,7 @@ def plan(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> tup
     """Least cost up to each place, and the place where the last window then begins."""
     pos, pen = places.tolist(), penalties.tolist()
     index = {p: k for k, p in enumerate(pos)}
+    powers = [p for p in _POWERS if p < length]
     cost, back = [0] * len(pos), [-1] * len(pos)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + pos(i), i), ascending
     for j in range(1, len(pos)):
@@ -81,7 +82,7 @@ def plan(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> tup
             queue.popleft()
         least, i = queue[0]
         best = least + length - p
-        for power in _POWERS:
+        for power in powers:
             k = index.get(p - power)
             if k is not None and cost[k] < best:
                 best, i = cost[k], k

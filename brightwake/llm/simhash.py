@@ -211,7 +211,7 @@ def keep_one_per_component(docs: DataFrame) -> DataFrame:
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__th")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.__th").alias("__kth"))
     rows = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kth")))
-    return rows.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
+    return rows.dropDuplicates(["doc_id", "__th"]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
