@@ -1,6 +1,6 @@
 """Importing this module registers all of the engine's own queries."""
 
 from .functions import dates, text, urls  # noqa: F401
-from .operators import aggregates, changes, dedup, evaluate, filters, ranking  # noqa: F401
+from .operators import aggregates, changes, dedup, evaluate, filters, more, ranking  # noqa: F401
 from .plans import nlq  # noqa: F401
 from .streaming import ingest  # noqa: F401
