@@ -8,24 +8,12 @@ folders of earlier batches, so the table is the same whether or not it failed.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.model import query, tables
-
-
-def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared checkpoint folder; a temporary one only in local mode."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="brightwake-")
-    return f"{root.rstrip('/')}/brightwake/{label}-{uuid.uuid4().hex}"
+from ..sources.store import work_folder
 
 
 def stored(spark: SparkSession, folder: str, schema: T.StructType, before: int | None = None) -> DataFrame:
