@@ -120,3 +120,22 @@ def test_ingest_can_be_run_again(spark, tmp_path):
     assert run() == [("a", 1), ("b", 3), ("c", 9)]
     assert run() == [("a", 1), ("b", 3), ("c", 9)]
     assert stored(spark, f"file://{tmp_path}/none", spark.createDataFrame([], schema).schema).count() == 0
+
+
+POSTS = [
+    ("", "REVIEW_REQUIRED", "J", "url_only_no_text"),
+    ("workshop", "REVIEW_REQUIRED", "D", "weak_text_requires_review"),
+    ("A two-day workshop on machine learning was conducted by the department for all the students of the third year. ", "ACTIVITY_CANDIDATE", "D", "activity_evidence:WORKSHOP"),
+    ("Admissions open! Apply for admission now; internship and placement support for everyone who joins us this coming year, limited seats.", "NON_ACTIVITY", "G", "communication_override:admission_promo"),
+    ("Wishing you all a very happy diwali from the whole family of the college, may it be joyous and bright for each one of you!", "NON_ACTIVITY", "H", "communication_only:greeting"),
+    ("Nothing in these words says that anything took place anywhere at any time, so that a person has to look at it once.", "REVIEW_REQUIRED", "I", "insufficient_evidence"),
+    ("The journal published a patent by our research scholar, who also gave a keynote at the international conference last week.", "ACTIVITY_CANDIDATE", "C", "activity_evidence:RESEARCH,CONFERENCE,GUEST_LECTURE"),
+]
+
+
+def test_classified(spark):
+    from brightwake.functions.classify import classified
+
+    rows = spark.createDataFrame([(i, p[0]) for i, p in enumerate(POSTS)], "id long, text string")
+    found = {r.id: (r.status, r.kind, r.reason) for r in classified(rows).collect()}
+    assert found == {i: p[1:] for i, p in enumerate(POSTS)}
