@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.model import CATEGORIES, DEPARTMENTAL, GENERAL, PERIODS, PUBLIC_NAMES, PUBLIC_YEARS, Universe, master, modelled
+from ..plans.model import CATEGORIES, DEPARTMENTAL, GENERAL, GENERAL_MEMBER, PERIODS, PUBLIC_NAMES, PUBLIC_YEARS, Universe, master, modelled
 
 n_distinct = F.countDistinct
 
@@ -68,7 +68,7 @@ def category_summary(u: Universe, spark: SparkSession) -> DataFrame:
 )
 def department_counts(u: Universe, spark: SparkSession) -> DataFrame:
     """Display parts equal to a master department; General and unknown parts are not counted."""
-    listed = u.departments.where(F.col("code") != GENERAL).select(F.col("code").alias("department")).distinct()
+    listed = u.members.where(F.col("code") != GENERAL_MEMBER).select(F.col("code").alias("department"))
     counted = u.activities.select(F.explode(parts(F.col("department_display"))).alias("department")).groupBy("department").agg(F.count("*").alias("n"))
     return _zero_filled(listed, counted, "department")
 

@@ -11,8 +11,7 @@ from .aggregates import n_distinct
 
 @modelled("j03_dimension_left_join", "SELECT n_name AS code, count(dep.id) AS n FROM nation LEFT JOIN dep ON dep.code = n_name GROUP BY n_name")
 def dimension_left_join(u: Universe, spark: SparkSession) -> DataFrame:
-    names = u.departments.select("code").distinct().where("code <> 'General'").unionByName(spark.createDataFrame([("NATION_0",)], "code string"))
-    return names.join(u.departments, "code", "left").groupBy("code").agg(F.count("id").alias("n"))
+    return u.members.join(u.departments, "code", "left").groupBy("code").agg(F.count("id").alias("n"))
 
 
 @modelled("j07_conditional_left_join", "SELECT act.id, dep.code AS primary_department FROM act LEFT JOIN dep ON dep.id = act.id AND dep.is_primary")

@@ -65,6 +65,8 @@ class Universe:
     categories: DataFrame
     departments: DataFrame
     stakeholders: DataFrame
+    #: All members of the department dimension, used or not.
+    members: DataFrame
 
 
 def universe(spark: SparkSession, sf_dir: str) -> Universe:
@@ -106,7 +108,8 @@ def universe(spark: SparkSession, sf_dir: str) -> Universe:
     activities = facts.join(shown, "id", "left")
     segment = with_customer.where("c_mktsegment is not null").select(F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("code"))
     staff = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), F.lit("STAFF").alias("code"))
-    return Universe(activities, bridge("category"), departments, segment.unionByName(staff))
+    members = tables(spark, sf_dir, "nation").select(F.col("n_name").alias("code"))
+    return Universe(activities, bridge("category"), departments, segment.unionByName(staff), members)
 
 
 def master(spark: SparkSession, names: tuple[str, ...], column: str) -> DataFrame:
