@@ -201,6 +201,7 @@ def near_duplicates(docs: DataFrame, *keep: str) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = linked.select("fp", "root").join(least, "root")
     of = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+    of = written(of, "simhash-classes")  # both sides of the last join are then plain tables, and Spark can split a fingerprint that many documents share
     return own.join(of, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
