@@ -307,3 +307,23 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
 def latest_run(spark: SparkSession, d: str) -> DataFrame:
     last = tables(spark, d, "events").where("event_type <> 'error'").groupBy("event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
     return last.select("event_type", "m.value")
+
+
+@modelled("s17_lookup_sheet", "SELECT act.id, title, url, code AS first_category FROM act LEFT JOIN cat ON cat.id = act.id AND cat.is_primary WHERE review_status IS NULL AND status = 'REPORTABLE'")
+def lookup_sheet(u: Universe, spark: SparkSession) -> DataFrame:
+    """Unchecked activities with their primary category, as a sheet to fill in."""
+    first = u.categories.where("is_primary").select("id", F.col("code").alias("first_category"))
+    open_ = u.activities.where("review_status is null and status = 'REPORTABLE'").select("id", "title", "url")
+    return open_.join(first, "id", "left")
+
+
+@query("s19_fingerprints", "SELECT doc_id, sha256(text) AS sha256, strlen(text)::BIGINT AS length FROM documents", base=False)
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """SHA-256 and byte length of every whole text."""
+    return tables(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("length"))
+
+
+@modelled("s20_seed_dimensions", "SELECT code, name, place::INT AS place FROM categories")
+def seed_dimensions(u: Universe, spark: SparkSession) -> DataFrame:
+    """The category dimension's reference rows."""
+    return spark.createDataFrame([(c, PUBLIC_NAMES[c], i) for i, c in enumerate(CATEGORIES)], "code string, name string, place int")
