@@ -23,7 +23,7 @@ END_ID = 2
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭį]+|[0-9]|[^\sa-z0-9ßà-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭį]+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-į]*")
 #: Words kept in a worker, twice: those met lately, and those before them.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 def _byte_letters() -> list[str]:

@@ -54,7 +54,7 @@ DECAY = 1e-6
 THRESHOLD = 0.7
 EMPTY_LOGIT = -4.0
 #: Word scores kept in a task.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 _EDGES = string.punctuation + "«»“”„’‘¡¿…–—"
 
 
