@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keywords
 from ..plans.model import CATEGORIES, GENERAL, PERIODS, PUBLIC_NAMES, Universe, modelled, query, tables
+from ..sources.store import stored_table
 from .aggregates import n_distinct, parts
 from .filters import Filter, narrowed
 
@@ -181,6 +182,30 @@ def document_frequency(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
 
 
+def tfidf(records: DataFrame) -> DataFrame:
+    """(id, term, tf, df, weight) of the words and word pairs of records (id, text), all of them.
+
+    Words have two letters or digits at least. The weight is tf times
+    ln((1 + n) / (1 + df)) + 1 over n records, in rows of length 1.
+    """
+    words = records.select("id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w{2,}"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.col("w")[i], w))
+    counts = words.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counts = stored_table(counts, "term-counts")
+    frequent = counts.groupBy("term").agg(F.count("*").alias("df"))
+    n = records.agg(F.countDistinct("id").alias("n")).first()["n"]
+    raw = counts.join(frequent, "term").withColumn("raw", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1))
+    raw = stored_table(raw, "term-weights")
+    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norms, "id").select("id", "term", "tf", "df", (F.col("raw") / F.col("norm")).alias("weight"))
+
+
+@query("f20_tfidf")
+def tfidf_query(spark: SparkSession, d: str) -> DataFrame:
+    """TF-IDF of words and word pairs over all documents, without a least frequency."""
+    return tfidf(tables(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
+
+
 @modelled("f21_search_terms", "SELECT id, list_filter([title, title || ' ' || split_part(department_display, ';', 1), title || ' ' || academic_year], lambda x: x IS NOT NULL) AS terms FROM act")
 def search_terms(u: Universe, spark: SparkSession) -> DataFrame:
     with_department = F.concat_ws(" ", "title", F.substring_index("department_display", ";", 1))
