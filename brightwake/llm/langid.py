@@ -37,8 +37,8 @@ SAMPLE = 200
 LANDMARKS = 40
 RIDGE = 1e-2
 BATCH = 32
-#: Most languages that are learned, the most frequent first.
-MAX_LANGUAGES = 200
+#: Up to so many languages have the full sample and landmarks; with more, each has less, and none is left out.
+FULL_LANGUAGES = 200
 UNKNOWN = "und"
 
 
@@ -92,10 +92,11 @@ class Model:
 def fit(texts: list[str | None], languages: list[str], ridge: float = RIDGE) -> Model:
     """Kernel ridge regression on Nystroem landmarks; texts should come in a random order."""
     names = sorted(set(languages))
+    most = max(1, min(LANDMARKS, LANDMARKS * FULL_LANGUAGES // max(1, len(names))))
     taken: dict[str, int] = dict.fromkeys(names, 0)
     chosen = []
     for i, name in enumerate(languages):
-        if taken[name] < LANDMARKS:
+        if taken[name] < most:
             taken[name] += 1
             chosen.append(i)
     if not chosen:
@@ -127,9 +128,10 @@ def held_out():
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` documents of each language that are not held out."""
     known = docs.select("doc_id", "text", "lang").where(~held_out()).where("lang is not null and doc_id is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     if not sizes:
         return fit([], [])
+    sample = max(1, min(sample, sample * FULL_LANGUAGES // len(sizes)))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["n"]))))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
     rows = known.where(place < 1_000_000 * F.try_element_at(share, F.col("lang"))).withColumn("place", F.xxhash64("text", "doc_id")).collect()
