@@ -264,6 +264,26 @@ def sniffed(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "declared", "media").mapInArrow(run, schema)
 
 
+def carved(media: DataFrame) -> DataFrame:
+    """One row for each object inside a stored value: ``doc_id``, its ``kind``, ``offset`` and ``length``, its ``object`` bytes and its ``samples``."""
+    kind_of = media.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "kind", "offset", "length", "object", "samples"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                data = batch.column(1)[at].as_py() or b""
+                found = objects(data)
+                inside = found[1:] if found and not found[0][1] else found
+                if inside:
+                    columns = [pa.array([x[i] for x in inside], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                    pieces = pa.array([data[o : o + n] for _, o, n, _ in inside], pa.binary())
+                    ids = batch.column(0).take(pa.array([at] * len(inside)))
+                    yield pa.RecordBatch.from_arrays([ids, *columns, pieces, pa.array([x[3] for x in inside], pa.binary())], names=names)
+
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind_of}, kind string, offset long, length long, object binary, samples binary")
+
+
 def media_query(docs: DataFrame) -> DataFrame:
     media = written(stored(docs), "media", compression="zstd")
-    return sniffed(media).drop("embedded")
+    return sniffed(media)
