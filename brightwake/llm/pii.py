@@ -16,7 +16,8 @@ text and free of deep recursion; they match the same spans as the plain forms.
 Defined results: null or empty text has no spans (``base_sha256`` of the empty
 string, ``spans`` empty); null ``doc_id`` rows and repeated rows are kept as rows;
 an empty table gives an empty result; other columns pass through ``annotate`` and
-``redact`` unchanged. Candidates that overlap a base span are dropped.
+``redact`` unchanged. Candidates that a base span covers are dropped;
+added spans may overlap base spans otherwise.
 """
 
 from __future__ import annotations
@@ -189,7 +190,7 @@ def annotate(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` with ``__base`` spans and ``__cand`` candidates."""
     text = F.coalesce(F.col("text"), F.lit(""))
     based = docs.select(*keep, text.alias("__text")).withColumn("__base", base_spans(F.col("__text"))).withColumn("__all", candidates(F.col("__text")))
-    clear = F.filter("__all", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    clear = F.filter("__all", lambda c: ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
     return based.withColumn("__cand", clear).drop("__all", "__text")
 
 
