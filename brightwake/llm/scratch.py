@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,12 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(names: Iterable[str], want: str) -> str:
+    """A column name like ``want`` that none of ``names`` has, in any case of letters."""
+    taken = {n.lower() for n in names}
+    return next(n for n in (f"__{want}{k or ''}" for k in range(len(taken) + 1)) if n not in taken)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete an intermediate folder that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -5,28 +5,34 @@ embedding rows; a window of words is the mean of its words' mean rows, and a
 linear softmax over that mean gives the class. Embeddings and softmax are
 trained jointly in numpy, so a misspelling or an unseen ending shares most rows
 with words seen in training. Labels belong to whole documents, so training
-alternates: every document is represented by its most toxic window under the
-model so far (and clean documents by random ones too), and the model is fitted
-to these windows. A document's score is that of its most toxic window, after a
-logistic calibration on the training documents.
-
-Since window means are linear, a trained model is one number per embedding row
-at scoring time; scoring is a table look-up and a running sum over whole texts.
+alternates: it begins with random windows of ``FIRST`` words, and then represents
+every document by its ``TOP_WORDS`` most toxic distinct words under the model so
+far (and clean documents by random words too). Once trained, a model is one
+number for each embedding row, and a word's logit is the mean of its rows'.
+
+A document is judged by its ``TOP`` greatest distinct word logits and its number
+of words, by a logistic map with weights that are not negative on the logits.
+That map is fitted out of fold: the labelled documents are dealt into ``FOLDS``
+parts by a hash, a model is trained without each part and rates it, and the model
+that scores is the mean of these. Both classes weigh the same in the map, so a
+score is the probability of label 1 where both labels are equally frequent.
 
 Fitting uses about ``SAMPLE`` toxic and ``CLEAN`` times as many clean labelled
-rows, picked by a hash of ``doc_id``; scoring covers every document.
-
-Defined results: null, empty or blank text has no window and gets the score of
-the calibration at a zero logit shifted to the clean side (``EMPTY_LOGIT``); null
-``doc_id`` rows are scored and count as not held out; a document with repeated or
-conflicting labels counts as toxic if any label is; without labels of both
-classes every score is 0; repeated rows are scored alike; an empty table gives
-an empty result; extra columns are ignored.
+rows, picked by a hash of ``doc_id``, one text for each, up to ``CHARACTERS`` in
+all in the order of another hash; scoring covers every document's whole text.
+
+Defined results: null, empty or blank text scores 0; null ``doc_id`` rows are
+scored and count as not held out; a document with repeated or conflicting labels
+counts as toxic if any label is; of several texts of one id, the one with the
+least hash is learned from; without labels of both classes every score is 0;
+repeated rows are scored alike; an empty table gives an empty result; extra
+columns are ignored by the query and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,25 +41,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import unused
+
 ROWS = 1 << 17
 DIM = 4
 GRAMS = (3, 4, 5, 6)
-WINDOW = 6
-#: Words of the windows that the first round takes as they come.
-FIRST = 96
-SAMPLE = 1200
+#: Words in a window of the first round, and such windows of a document.
+FIRST, WINDOWS = 96, 2
+SAMPLE = 1500
 #: Clean documents for each toxic one.
 CLEAN = 3
-ROUNDS = 4
+#: Most characters that are learned from.
+CHARACTERS = 200_000_000
+FOLDS = 3
+ROUNDS = 5
 EPOCHS = 18
+#: Words that stand for a document in a later round, and random ones that stand for a clean one.
+TOP_WORDS, RANDOM_WORDS = 5, 2
+#: Word logits that a document is judged by.
+TOP = 6
 #: Longest move of an entry in a step.
 RATE = {"E": 0.5, "W": 0.02, "b": 0.1}
 #: Number of entries that move that far.
 FAST = 1000
 DECAY = 1e-6
 THRESHOLD = 0.7
-EMPTY_LOGIT = -4.0
-#: Word scores kept in a task.
+#: Words whose rows are gathered at once.
+CHUNK = 20_000
+#: Word logits kept in a task.
 KEPT_WORDS = 150_000
 _EDGES = string.punctuation + "«»“”„’‘¡¿…–—"
 
@@ -100,34 +115,71 @@ def _scattered(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
 
-def top_window(word_logits: np.ndarray) -> tuple[float, int]:
-    """Greatest mean over any ``WINDOW`` consecutive words (or all, if fewer), and where it begins."""
-    if len(word_logits) <= WINDOW:
-        return float(word_logits.mean()), 0
-    total = np.concatenate([[0.0], np.cumsum(word_logits)])
-    sums = total[WINDOW:] - total[:-WINDOW]
-    at = int(sums.argmax())
-    return float(sums[at]) / WINDOW, at
+class Bags:
+    """Rows of many words, read and written a bounded number of words at a time."""
+
+    def __init__(self, row: np.ndarray, counts: np.ndarray) -> None:
+        self.row, self.counts = row, counts
+        self._begins = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def _chunks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for at in range(0, len(self), CHUNK):
+            words_ = slice(at, min(at + CHUNK, len(self)))
+            yield words_, self.row[self._begins[words_.start] : self._begins[words_.stop]]
+
+    def of(self, used: np.ndarray) -> Bags:
+        """The bags of some of the words."""
+        counts = self.counts[used]
+        offset = np.arange(counts.sum(dtype=np.int64)) - np.repeat(np.cumsum(counts, dtype=np.int64) - counts, counts)
+        return Bags(self.row[np.repeat(self._begins[used], counts) + offset], counts)
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """Each word's mean of the table's entries at its rows."""
+        out = np.empty((len(self), *table.shape[1:]), np.float32)
+        for words_, row in self._chunks():
+            out[words_] = _means(table[row], self.counts[words_])
+        return out
+
+    def spread(self, each: np.ndarray, rows: int) -> np.ndarray:
+        """The transpose of ``means``: what the words' values give to every row."""
+        out = np.zeros((rows, each.shape[1]), np.float32)
+        for words_, row in self._chunks():
+            n = self.counts[words_]
+            out += _scattered(row, np.repeat(each[words_] / n[:, None], n, axis=0), rows)
+        return out
 
 
 @dataclass
 class Model:
-    """One logit per embedding row, the softmax's bias, and the calibration."""
+    """One logit for each embedding row, the softmax's bias, and the map from a document's facts to its score."""
 
     table: np.ndarray
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
+    weights: np.ndarray
+    shift: float
+    #: What stands for the logits that a text of few words lacks.
+    usual: np.ndarray
 
     def word_logits(self, of: list[str]) -> np.ndarray:
-        row, counts = bags(of)
-        return _means(self.table[row], counts)
+        return Bags(*bags(of)).means(self.table) + self.bias
 
-    def probability(self, logit: float) -> float:
-        z = self.slope * logit + self.shift
+    def probability(self, logits: np.ndarray, n_words: int) -> float:
+        """Score of a document from the logits of its distinct words."""
+        z = float(facts(logits, n_words, self.usual) @ self.weights) + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+def facts(logits: np.ndarray, n_words: int, usual: np.ndarray | None = None) -> np.ndarray:
+    """The greatest ``TOP`` logits, descending (NaN or the ``usual`` ones where there are fewer), and the log of the number of words."""
+    top = np.full(TOP, np.nan) if usual is None else usual.astype(float).copy()
+    best = np.sort(np.partition(logits, len(logits) - TOP)[-TOP:] if len(logits) > TOP else logits)[::-1]
+    top[: len(best)] = best
+    return np.append(top, np.log(n_words))
+
+
 class Scorer:
     """Scores texts with a model; keeps the logits of words it has met."""
 
@@ -136,37 +188,33 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> list[float]:
         split = [words(t) for t in texts]
+        distinct = [dict.fromkeys(s) for s in split]
         known = self._known
-        new = list({w for s in split for w in s if w not in known})
+        new = list(dict.fromkeys(w for s in distinct for w in s if w not in known))
         if len(known) + len(new) > KEPT_WORDS:
             known.clear()
-            new = list({w for s in split for w in s})
+            new = list(dict.fromkeys(w for s in distinct for w in s))
         if new:
             known.update(zip(new, self._model.word_logits(new).tolist(), strict=True))
-        out = []
-        for s in split:
-            logit = top_window(np.fromiter(map(known.__getitem__, s), float, len(s)))[0] + self._model.bias if s else EMPTY_LOGIT
-            out.append(self._model.probability(logit))
-        return out
+        own = [np.fromiter(map(known.__getitem__, d), float, len(d)) for d in distinct]
+        return [self._model.probability(x, len(s)) if s else 0.0 for x, s in zip(own, split, strict=True)]
 
 
-def _epoch(state: dict, row: np.ndarray, counts: np.ndarray, word: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+def _epoch(state: dict, used: Bags, word: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
     """One full-batch step of the embeddings, the softmax weights and its bias.
 
     Each matrix moves along its averaged gradient, scaled as a whole: rows that
     many documents share move most, and rows of single documents hardly move.
     """
     E, W, b = state["E"], state["W"], state["b"]
-    vectors = _means(E[row], counts)
-    hidden = _means(vectors[word], sizes)
+    hidden = _means(used.means(E)[word], sizes)
     z = hidden @ W + b
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(len(y)), y] -= 1
     dz = p * weight[:, None]
-    d_hidden = dz @ W.T / sizes[:, None]
-    d_vectors = _scattered(word, np.repeat(d_hidden, sizes, axis=0), len(counts)) / counts[:, None].astype(np.float32)
-    grads = {"E": _scattered(row, np.repeat(d_vectors, counts, axis=0), len(E)) + DECAY * E, "W": hidden.T @ dz + DECAY * W, "b": dz.sum(axis=0)}
+    d_words = _scattered(word, np.repeat((dz @ W.T / sizes[:, None]).astype(np.float32), sizes, axis=0), len(used))
+    grads = {"E": used.spread(d_words, len(E)) + DECAY * E, "W": hidden.T @ dz + DECAY * W, "b": dz.sum(axis=0)}
     for name, g in grads.items():
         m = state["m" + name]
         m += 0.2 * (g - m)
@@ -175,68 +223,90 @@ def _epoch(state: dict, row: np.ndarray, counts: np.ndarray, word: np.ndarray, s
         state[name] -= RATE[name] * np.clip(m / (top + 1e-12), -1, 1)
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> Model:
-    """Train on whole documents with labels 0 and 1."""
-    rng = np.random.default_rng(7)
-    vocabulary: dict[str, int] = {}
-    docs, labels = [], []
-    for text, label in zip(texts, toxic, strict=True):
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
-        if ids:
-            docs.append(np.array(ids, np.int32))
-            labels.append(label)
-    y = np.array(labels, np.int64)
-    if len(set(labels)) < 2:
-        return Model(np.zeros(ROWS), 0.0, 0.0, -500.0)
-    row, counts = bags(list(vocabulary))
-    begins = np.cumsum(counts, dtype=np.int64) - counts
+def _embedded(bag: Bags, docs: list[np.ndarray], distinct: list[np.ndarray], y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+    """Table and bias of a model trained on these documents (ids of their words, and of their distinct words)."""
+    rng = np.random.default_rng(seed)
     state = {"E": rng.normal(0, 0.05, (ROWS, DIM)).astype(np.float32), "W": rng.normal(0, 0.3, (DIM, 2)), "b": np.zeros(2)}
     state |= {"m" + name: np.zeros_like(state[name]) for name in ("E", "W", "b")}
 
-    def folded() -> Model:
+    def folded() -> tuple[np.ndarray, float]:
         direction = state["W"][:, 1] - state["W"][:, 0]
-        return Model((state["E"] @ direction.astype(np.float32)), float(state["b"][1] - state["b"][0]))
+        return state["E"] @ direction.astype(np.float32), float(state["b"][1] - state["b"][0])
 
-    def random_windows(k: int, size: int) -> list[tuple[int, int, int]]:
-        return [(d, int(rng.integers(max(1, len(ids) - size + 1))), size) for d, ids in enumerate(docs) for _ in range(k)]
-
-    chosen = random_windows(1, FIRST)
-    clean_windows = [w for w in random_windows(2, WINDOW) if not y[w[0]]]
-    tops: list[float] = []
-    for turn in range(ROUNDS + 1):
+    begins = [(d, int(rng.integers(max(1, len(docs[d]) - FIRST + 1)))) for d in range(len(docs)) for _ in range(WINDOWS)]
+    pieces, target = [docs[d][at : at + FIRST] for d, at in begins], np.repeat(y, WINDOWS)
+    clean = [rng.choice(distinct[d], RANDOM_WORDS) for d in np.flatnonzero(y == 0)]
+    for turn in range(ROUNDS):
         if turn:
-            model = folded()
-            logits = _means(model.table[row], counts)
-            found = [top_window(logits[ids]) for ids in docs]
-            tops = [t + model.bias for t, _ in found]
-            clean_windows += [(d, at, WINDOW) for d, (_, at) in enumerate(found) if not y[d]]
-            chosen = [(d, at, WINDOW) for d, (_, at) in enumerate(found) if y[d]] + clean_windows
-        if turn == ROUNDS:
-            break
-        pieces = [docs[d][at : at + size] for d, at, size in chosen]
-        target = np.array([y[d] for d, _, _ in chosen])
+            logits = bag.means(folded()[0])
+            chosen = [own[np.argsort(-logits[own], kind="stable")[:TOP_WORDS]] for own in distinct]
+            clean += [c for c, label in zip(chosen, y, strict=True) if not label]
+            toxic = [c for c, label in zip(chosen, y, strict=True) if label]
+            pieces = np.concatenate([*toxic, *clean])[:, None]
+            target = np.repeat([1, 0], [sum(map(len, toxic)), sum(map(len, clean))])
+        sizes = np.array([len(p) for p in pieces])
         used, word = np.unique(np.concatenate(pieces), return_inverse=True)
-        flat = np.concatenate([row[begins[w] : begins[w] + counts[w]] for w in used.tolist()])
-        share = np.bincount(target, minlength=2)
-        weight = 0.5 / np.maximum(share, 1)[target]
+        weight = 0.5 / np.maximum(np.bincount(target, minlength=2), 1)[target]
+        own = bag.of(used)
         for _ in range(EPOCHS):
-            _epoch(state, flat, counts[used], word, np.array([len(p) for p in pieces]), target, weight)
-    model = folded()
-    model.slope, model.shift = _calibrated(np.array(tops), y)
-    return model
+            _epoch(state, own, word, sizes, target, weight)
+    return folded()
 
 
-def _calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic map of the documents' logits, by Newton's method with a ridge."""
-    x = np.stack([logits, np.ones_like(logits)], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        gradient = x.T @ (p - y) + 1e-2 * (w - [1, 0])
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step / max(1.0, float(np.abs(step).max()))
-    return float(max(w[0], 0.05)), float(w[1])
+def fit(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
+    """Train on whole documents with labels 0 and 1."""
+    vocabulary: dict[str, int] = {}
+    docs, labels, part = [], [], []
+    for text, label in zip(texts, toxic, strict=True):
+        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
+        if ids:
+            docs.append(np.array(ids, np.int32))
+            labels.append(label)
+            part.append(zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS)
+    y, fold = np.array(labels, np.int64), np.array(part)
+    if any(len(set(y[fold != k])) < 2 for k in range(FOLDS)):
+        fold = np.arange(len(y)) % FOLDS
+    if any(len(set(y[fold != k])) < 2 for k in range(FOLDS)):
+        return Model(np.zeros(ROWS, np.float32), 0.0, np.zeros(TOP + 1), -500.0, np.zeros(TOP))
+    bag = Bags(*bags(list(vocabulary)))
+    del vocabulary
+    distinct = [np.unique(d) for d in docs]
+    table, bias, told = np.zeros(ROWS), 0.0, np.empty((len(docs), TOP + 1))
+    for k in range(FOLDS):
+        inside = np.flatnonzero(fold != k)
+        own, own_bias = _embedded(bag, [docs[d] for d in inside], [distinct[d] for d in inside], y[inside], seed + k)
+        table += own / FOLDS
+        bias += own_bias / FOLDS
+        logits = bag.means(own) + own_bias
+        for d in np.flatnonzero(fold == k):
+            told[d] = facts(logits[distinct[d]], len(docs[d]))
+    usual = np.nan_to_num(np.nanmean(told[y == 0, :TOP], axis=0)) if np.isfinite(told[y == 0, :TOP]).any(axis=0).all() else np.full(TOP, bias)
+    told[:, :TOP] = np.where(np.isnan(told[:, :TOP]), usual, told[:, :TOP])
+    weights, shift = judged(told, y)
+    return Model(table.astype(np.float32), bias, weights, shift, usual)
+
+
+def judged(told: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and shift of a logistic map with classes of equal weight; logits that would count against toxicity are left out, one at a time."""
+    mean, spread = told.mean(axis=0), told.std(axis=0) + 1e-9
+    x = np.hstack([(told - mean) / spread, np.ones((len(y), 1))])
+    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w, cells = np.zeros(x.shape[1]), np.flatnonzero(used)
+        penalty = np.append(np.full(len(cells) - 1, ridge), 1e-3)
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            own = x[:, cells]
+            gradient = own.T @ (share * (p - y)) + penalty * w[cells]
+            step = np.linalg.solve((own * (share * p * (1 - p))[:, None]).T @ own + np.diag(penalty), gradient)
+            w[cells] -= step / max(1.0, float(np.abs(step).max()) / 3)
+        least = int(np.argmin(w[:TOP]))
+        if w[least] >= 0:
+            break
+        used[least] = False
+    weights = w[:-1] / spread
+    return weights, float(w[-1] - weights @ mean)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -244,42 +314,49 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> Model:
     """Fit on labelled documents that are not held out: about ``sample`` toxic and ``CLEAN * sample`` clean ones."""
     known = labels.where(~held_out()).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(sample / max(1, sizes.get(1, 0)))).otherwise(F.lit(CLEAN * sample / max(1, sizes.get(0, 0))))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share).limit(2 * (1 + CLEAN) * sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
-    found = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.toLocalIterator()))
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share)
+    # About (1 + CLEAN) * sample rows by the shares, whatever the tables' sizes.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found, left = [], characters
+    for r in rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").toLocalIterator():
+        left -= len(r["text"] or "")
+        if left < 0:
+            break
+        found.append((r["doc_id"], r["text"] or "", r["toxic"]))
+    found.sort(key=lambda f: f[0])
     return fit([f[1] for f in found], [f[2] for f in found])
 
 
-def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` columns of every document with its ``__score``."""
+def scored(docs: DataFrame, model: Model, score: str, *keep: str) -> DataFrame:
+    """``keep`` columns of every document with its score in a column of that name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"))
+    own_text = unused(keep, "text")
+    narrow = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias(own_text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
             own = []
             for at in range(0, batch.num_rows, 64):
-                own += scorer.score(batch.column("__text").slice(at, 64).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own, pa.float64())], names=[*keep, "__score"])
+                own += scorer.score(batch.column(own_text).slice(at, 64).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own, pa.float64())], names=[*keep, score])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name != "__text")
-    return narrow.mapInArrow(run, f"{kinds}__score double")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name != own_text)
+    return narrow.mapInArrow(run, f"{kinds}`{score}` double")
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found = scored(docs, train(docs, labels), "doc_id")
-    return found.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    found = scored(docs, train(docs, labels), "score", "doc_id")
+    return found.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted toxic."""
-    model = train(docs, labels)
-    names = [f"`{c}`" for c in docs.columns]
-    rows = scored(docs, model, *docs.columns)
-    return rows.where(F.col("__score") < THRESHOLD).select(*names)
+    score = unused(docs.columns, "score")
+    rows = scored(docs, train(docs, labels), score, *docs.columns)
+    return rows.where(F.col(score) < THRESHOLD).select(*(f"`{c}`" for c in docs.columns))
