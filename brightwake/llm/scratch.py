@@ -1,7 +1,9 @@
 """Intermediate tables and files in the folder that the cluster shares.
 
 Lineage is cut by writing a table below ``spark.checkpoint.dir``: it survives
-lost executors, and reading it back gives Spark fresh size statistics. Only in
+lost executors, and reading it back gives Spark fresh size statistics. Operators
+drop what none of their results reads; a caller that has stored a result can drop
+the rest with ``drop_others``. Only in
 plain local mode, where driver and executors are one process, is a temporary
 folder used when the setting is missing.
 """
@@ -15,6 +17,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: dict[str, str] = {}
+#: Folders made and not dropped yet, oldest first.
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,15 +40,22 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/brightwake/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/brightwake/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """``df`` written to a shared table and read back; its plan starts at that table."""
+def stored(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
+    """``df`` written to a shared table and read back, so that its plan starts there, and the table's folder."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """The same without the folder, for tables that stay."""
+    return stored(df, label, **options)[0]
 
 
 def unused(names: Iterable[str], want: str) -> str:
@@ -53,8 +64,21 @@ def unused(names: Iterable[str], want: str) -> str:
     return next(n for n in (f"__{want}{k or ''}" for k in range(len(taken) + 1)) if n not in taken)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate folder that no later plan reads."""
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete intermediate folders that no later plan reads."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def made() -> list[str]:
+    """The folders that exist now, to tell later which are new."""
+    return list(_made)
+
+
+def drop_others(spark: SparkSession, keep: list[str]) -> None:
+    """Delete all folders made but those in ``keep``; for a caller whose results no longer read them."""
+    drop(spark, *(path for path in made() if path not in keep))

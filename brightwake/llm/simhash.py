@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, new_path, written
+from .scratch import drop, new_path, stored, unused, written
 
 RADIUS = 3
 SEED = 42
@@ -44,6 +44,10 @@ BLOCK = 1024
 DENSE = 16384
 #: Shingles whose bits are counted at once.
 _STRIDE = 1 << 15
+#: A fingerprint of more documents than this is split where documents meet their classes,
+SPLIT = 256
+#: and of more than one in so many, which bounds the number of split ones.
+MOST_SPLIT = 100_000
 
 
 def _labels() -> list[int]:
@@ -82,14 +86,15 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns of each document, with its fingerprint as a signed long ``fp``."""
-    narrow = docs.select(*keep, F.col("text").alias("__text"))
+    text = unused(keep, "text")
+    narrow = docs.select(*keep, F.col("text").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_signed(fingerprint(t)) for t in batch.column("__text").to_pylist()]
+            fps = [_signed(fingerprint(t.as_py())) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps, pa.int64())], names=[*keep, "fp"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "__text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != text)
     return narrow.mapInArrow(run, f"{kinds}, fp long")
 
 
@@ -110,7 +115,9 @@ def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs = [_forest(np.asarray(x, np.int64)) for x in batch.column("fps").to_pylist()]
+        lists = batch.column("fps")
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        pairs = [_forest(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         a = np.concatenate([p[0] for p in pairs]) if pairs else np.empty(0, np.int64)
         b = np.concatenate([p[1] for p in pairs]) if pairs else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -134,12 +141,12 @@ def _dense_links(members: DataFrame) -> DataFrame:
     return reached.join(core, ["t", "v"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def radius_links(distinct_fps: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within ``RADIUS`` bits."""
+def radius_links(distinct_fps: DataFrame) -> tuple[DataFrame, str]:
+    """Links (a, b) whose components are those of all pairs within ``RADIUS`` bits, and the folder they are read from."""
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(covering_masks()))))
     keyed = distinct_fps.select("fp", tables.alias("k")).select("k.t", "k.key", "fp")
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(keyed.join(shared, ["t", "key"]), "simhash-buckets")
+    members, path = stored(keyed.join(shared, ["t", "key"]), "simhash-buckets")
     small = members.where(F.col("n") <= DENSE)
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = small.withColumn("m", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
@@ -149,7 +156,7 @@ def radius_links(distinct_fps: DataFrame) -> DataFrame:
     large = members.where(F.col("n") > DENSE)
     if not large.isEmpty():
         links = links.union(_dense_links(large))
-    return links
+    return links, path
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -174,8 +181,9 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("m"))
         to = F.when(F.col("m.r") < rank("a"), F.col("m.to")).otherwise(F.col("a"))
-        pointers = written(least.select(F.col("a").alias("fp"), to.alias("root")), "simhash-pointers")
+        pointers, path = stored(least.select(F.col("a").alias("fp"), to.alias("root")), "simhash-pointers")
         levels.append(pointers)
+        paths.append(path)
         left = pointers.select(F.col("fp").alias("a"), F.col("root").alias("ra"))
         right = pointers.select(F.col("fp").alias("b"), F.col("root").alias("rb"))
         edges = edges.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
@@ -187,32 +195,52 @@ def components(links: DataFrame) -> DataFrame:
             step = later.select(F.col("fp").alias("root"), F.col("root").alias("next"))
             found = found.join(step, "root", "left").select("fp", F.coalesce("next", "root").alias("root"))
         found = written(found, "simhash-roots")
-    for path in paths:
-        drop(spark, path)
+    drop(spark, *paths)
     return found
 
 
+def split_join(rows: DataFrame, classes: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``classes`` (fp, ..., n: its number of rows) on ``fp``, a fingerprint of many rows in parts.
+
+    At most ``MOST_SPLIT`` fingerprints can have more than one in so many of the
+    rows, so the table that tells into how many parts each is dealt may be broadcast.
+    """
+    part, parts = unused([*rows.columns, *classes.columns], "part"), unused([*rows.columns, *classes.columns], "parts")
+    least = max(SPLIT, n_rows // MOST_SPLIT)
+    wide = classes.where(F.col("n") > least).select("fp", F.ceil(F.col("n") / least).cast("int").alias(parts))
+    # A row's number in its scan does not change when a task is run again.
+    told = rows.join(F.broadcast(wide), "fp", "left").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    each = F.when(F.col("n") > least, F.ceil(F.col("n") / least)).otherwise(1).cast("int")
+    dealt = classes.withColumn(part, F.explode(F.sequence(F.lit(0), each - 1)))
+    return told.join(dealt.drop("n"), ["fp", part]).drop(part)
+
+
 def near_duplicates(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per document: ``doc_id``, ``keep`` columns, signed ``fp``, ``root`` of its component and ``component_id``."""
+    spark = docs.sparkSession
     own = written(fingerprints(docs, "doc_id", *keep), "simhash-fingerprints")
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(radius_links(own.select("fp").distinct()))
+    classes, at_classes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-distinct")
+    links, at_links = radius_links(classes.select("fp"))
+    roots = components(links)
     linked = roots.join(classes, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = linked.select("fp", "root").join(least, "root")
-    of = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
-    of = written(of, "simhash-classes")  # both sides of the last join are then plain tables, and Spark can split a fingerprint that many documents share
-    return own.join(of, "fp").select("doc_id", *keep, "fp", "root", "component_id")
+    of = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"), "n")
+    of = written(of, "simhash-classes")
+    drop(spark, at_classes, at_links)
+    n_rows = of.agg(F.sum("n")).first()[0] or 0
+    return split_join(own, of, n_rows).select("doc_id", *keep, "fp", "root", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest doc_id, then of the smallest text hash."""
-    hashed = docs.withColumn("__th", F.xxhash64("text"))
-    found = near_duplicates(hashed, "__th")
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__th")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.__th").alias("__kth"))
-    rows = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kth")))
-    return rows.dropDuplicates(["doc_id", "__th"]).select(*(f"`{c}`" for c in docs.columns))
+    own, none, id_, kept_hash = (unused(docs.columns, x) for x in ("hash", "none", "id", "kept"))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    found = near_duplicates(hashed, own)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias(none), F.col("doc_id").alias(id_), F.col(own).alias(kept_hash))).alias("k"))
+    kept = kept.select(F.col(f"k.{id_}"), F.col(f"k.{kept_hash}"))
+    rows = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(kept_hash)))
+    return rows.dropDuplicates(["doc_id", own]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:

@@ -454,13 +454,23 @@ def test_components_in_every_tier(spark, monkeypatch, block, dense):
             cluster.append(rng.choice(cluster) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 4))))
         fps.update(cluster)
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    found = {r.fp: r.root for r in simhash.components(simhash.radius_links(df)).collect()}
+    found = {r.fp: r.root for r in simhash.components(simhash.radius_links(df)[0]).collect()}
     want = plain_components(fps)
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
     whole = {simhash._signed(f): found.get(simhash._signed(f), simhash._signed(f)) for f in fps}
     assert groups(whole) == groups({simhash._signed(f): simhash._signed(r) for f, r in want.items()})
 
 
+def test_a_fingerprint_of_many_documents_is_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", 8)
+    docs = spark.range(300).select("id", F.when(F.col("id") % 3 < 2, "the same few words here").otherwise(F.concat_ws(" ", "id", F.col("id") * 7, F.col("id") * 13, F.col("id") * 31)).alias("text")).withColumnRenamed("id", "doc_id")
+    found = {r.doc_id: r.component_id for r in simhash.simhash_query(docs).collect()}
+    assert len(found) == 300 and all(found[d] == 0 for d in range(300) if d % 3 < 2)
+    classes = spark.createDataFrame([(5, 20), (6, 1)], "fp long, n long")
+    rows = spark.createDataFrame([(i, 5) for i in range(20)] + [(99, 6)], "doc_id long, fp long")
+    assert sorted(r.doc_id for r in simhash.split_join(rows, classes, 21).collect()) == [*range(20), 99]
+
+
 def test_one_document_of_each_group_stays(odd):
     kept = simhash.keep_one_per_component(odd)
     assert kept.columns == odd.columns
