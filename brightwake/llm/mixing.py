@@ -7,17 +7,22 @@ where x is the source's dual variable. The dual is convex and separates by
 source; safeguarded Newton steps solve it for all sources at once, each from one
 distributed aggregation over a table of (source, size, number of documents).
 
-Rates become whole copies by error feedback: the documents of a source are dealt
-into chunks by a hash, so that a large source is split, and in each chunk,
-largest documents first, a document gets the copies that bring the running
-number of words closest to what the rates ask for. As a chunk ends with its
-smallest documents, its error is at most about half of one of these.
+Sums are exact decimals, so that neither the order of rows nor the number of
+partitions changes the duals. A source whose target is its cap takes every
+document ``CAP`` times.
+
+Rates become whole copies by error feedback. Equal rows are counted first and
+form a class, and classes are dealt into chunks by a hash, a large class in
+parts, so that neither a large source nor many equal rows make a large chunk. In
+each chunk, largest documents first, a document gets the copies that bring the
+running number of words closest to what the rates ask for. As a chunk ends with
+its smallest documents, its error is at most about half of one of these.
 
 Defined results: null text has size 0; a document of size 0 is taken once, with
 0 words; null source is a source of its own, last in order; null ``doc_id`` rows
 and repeated rows take part like any other; a source without words has target
 0; an empty table gives an empty result; extra columns are ignored by the query
-and kept by ``mixed``.
+and kept by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +30,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import drop, stored, unused, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
 STEPS = 60
-#: Dual variables are held in this range; its ends are "none but the smallest" and "all at the cap".
+#: Dual variables are held in this range; a source below its cap whose dual would lie beyond is as near to its target as the range allows.
 REACH = 60.0
 TOLERANCE = 1e-7
 #: Documents of a chunk, about.
 CHUNK = 256
+#: Copies of a class that are written by one task, where any class has more.
+SPREAD = 1000
+#: Sums of rates and of their slopes are exact in this type.
+_EXACT = "decimal(34,6)"
 
 
 def sizes(text: str = "text"):
@@ -72,86 +81,107 @@ def targets(per_source: DataFrame, cap: float = CAP, weights: tuple[int, ...] =
 
 
 def solve(histogram: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
-    """(source, x, mean) with each source's dual variable, by Newton's method kept in a shrinking bracket.
+    """(source, x, mean) with each source's dual variable, by Newton's method kept in a shrinking bracket; null x: take all at the cap.
 
     ``histogram`` has (source, size, n); ``aims`` has (source, target, n_docs, source_size).
     """
-    state = aims.select("source", "target", F.when(F.col("source_size") > 0, F.col("source_size") / F.col("n_docs")).otherwise(1.0).alias("mean"), F.lit(0.0).alias("x"), F.lit(-REACH).alias("low"), F.lit(REACH).alias("high"))
-    state = written(state, "mix-dual")
+    spark = histogram.sparkSession
+    full = (F.col("source_size") > 0) & (F.col("target") >= F.lit(cap) * F.col("source_size"))
+    mean = F.when(F.col("source_size") > 0, F.col("source_size") / F.col("n_docs")).otherwise(1.0)
+    start = aims.select("source", "target", mean.alias("mean"), F.when(~full, 0.0).alias("x"), F.lit(-REACH).alias("low"), F.lit(REACH).alias("high"), (~full).alias("open"))
+    state, path = stored(start, "mix-dual")
     for _ in range(STEPS):
-        s = state.select(F.col("source").alias("s"), "mean", "x")
+        if state.where("open").isEmpty():
+            break
+        s = state.where("open").select(F.col("source").alias("s"), "mean", "x")
         each = histogram.join(s, histogram["source"].eqNullSafe(F.col("s")))
         z = F.col("x") * F.col("size") / F.col("mean")
-        rate = F.when(z >= F.log(F.lit(cap)), F.lit(cap)).otherwise(F.exp(z))
-        slope = F.when(z >= F.log(F.lit(cap)), F.lit(0.0)).otherwise(F.exp(z) * F.col("size") / F.col("mean"))
-        summed = each.groupBy(F.col("s")).agg(F.sum(F.col("n") * F.col("size") * rate).alias("got"), F.sum(F.col("n") * F.col("size") * slope).alias("slope"))
+        at_cap = z >= F.log(F.lit(cap))
+        rate = F.when(at_cap, F.lit(cap)).otherwise(F.exp(z))
+        slope = F.when(at_cap, F.lit(0.0)).otherwise(F.exp(z) * F.col("size") / F.col("mean"))
+        exact = lambda value: F.sum((F.col("n") * F.col("size") * value).cast(_EXACT)).cast("double")
+        summed = each.groupBy(F.col("s")).agg(exact(rate).alias("got"), exact(slope).alias("slope"))
         joined = state.join(summed, state["source"].eqNullSafe(F.col("s")), "left").drop("s")
         over = F.coalesce(F.col("got"), F.lit(0.0)) - F.col("target")
-        low = F.when(over < 0, F.col("x")).otherwise(F.col("low"))
-        high = F.when(over >= 0, F.col("x")).otherwise(F.col("high"))
+        low = F.when(F.col("open") & (over < 0), F.col("x")).otherwise(F.col("low"))
+        high = F.when(F.col("open") & (over >= 0), F.col("x")).otherwise(F.col("high"))
         newton = F.col("x") - F.when(F.col("slope") > 0, over / F.col("slope"))
         step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        done = F.abs(over) <= TOLERANCE * F.greatest("target", F.lit(1.0))
-        state = written(joined.select("source", "target", "mean", F.when(done, F.col("x")).otherwise(step).alias("x"), low.alias("low"), high.alias("high"), (~done & (high - low > 1e-9)).alias("open")), "mix-dual")
-        if state.where("open").isEmpty():
-            break
-    # Sums of doubles depend on the order of rows in their last digits; rounding keeps reruns alike.
-    return state.select("source", F.round("x", 9).alias("x"), "mean")
-
-
-def planned(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every document, in no order."""
-    sized = written(docs.select("doc_id", "source", sizes().alias("size")), "mix-sizes")
-    histogram = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
+        done = ~F.col("open") | (F.abs(over) <= TOLERANCE * F.greatest("target", F.lit(1.0)))
+        moved = joined.select("source", "target", "mean", F.when(done, F.col("x")).otherwise(step).alias("x"), low.alias("low"), high.alias("high"), (~done & (high - low > 1e-9)).alias("open"))
+        before = path
+        state, path = stored(moved, "mix-dual")
+        drop(spark, before)
+    return state.select("source", "x", "mean")
+
+
+def planned(docs: DataFrame, tag: Column) -> DataFrame:
+    """(doc_id, source, size, tag, source_size, target, copies) of every document, in no order; documents that agree in the first four form a class."""
+    spark = docs.sparkSession
+    own = docs.select("doc_id", "source", sizes().alias("size"), tag.alias("tag"))
+    classes = written(own.groupBy("doc_id", "source", "size", "tag").agg(F.count("*").alias("rows")), "mix-classes")
+    histogram, at_histogram = stored(classes.groupBy("source", "size").agg(F.sum("rows").alias("n")), "mix-histogram")
     per_source = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
-    aims = written(targets(per_source.select("source", "source_size")).join(per_source.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
+    told = targets(per_source.select("source", "source_size")).join(per_source.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    aims, at_aims = stored(told, "mix-targets")
     duals = solve(histogram, aims)
-    told = aims.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s")
+    told = written(aims.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s"), "mix-rates")
+    drop(spark, at_histogram, at_aims)
     z = F.col("x") * F.col("size") / F.col("mean")
-    rate = F.when(z >= F.log(F.lit(CAP)), F.lit(CAP)).otherwise(F.exp(z))
+    rate = F.when(F.col("x").isNull() | (z >= F.log(F.lit(CAP))), F.lit(CAP)).otherwise(F.exp(z))
     # The sources' table is small beside the documents, but its size has no bound: the join is left to Spark, which splits a hot source.
-    rated = sized.join(told, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
-    chunk = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.ceil(F.col("n_docs") / CHUNK))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rated.withColumn("chunk", chunk).select("doc_id", "source", "size", "source_size", "target", "rate", "chunk")
-    dealt = dealt.repartition(n, "source", "chunk").sortWithinPartitions("source", "chunk", F.desc("size"), "doc_id")
-    kept = ["doc_id", "source", "size", "source_size", "target"]
+    rated = classes.join(told, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
+    n_chunks = F.ceil(F.col("n_docs") / CHUNK)
+    parted = rated.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))))
+    parted = parted.withColumn("rows", F.least(F.col("rows") - F.col("part") * CHUNK, F.lit(CHUNK).cast("long")))
+    dealt = parted.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tag", "part", F.lit(11)), n_chunks))
+    kept = ["doc_id", "source", "size", "tag", "source_size", "target"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(*kept, "rate", "rows", "chunk").repartition(n, "source", "chunk").sortWithinPartitions("source", "chunk", F.desc("size"), "doc_id", "tag", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, asked, got = None, 0.0, 0.0
+        key, asked, got = None, 0.0, 0
         for batch in batches:
-            copies = []
-            for source, part, size, rate_ in zip(*(batch.column(c).to_pylist() for c in ("source", "chunk", "size", "rate")), strict=True):
+            copies, at = [], []
+            for i, (source, part, size, rate_, rows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "chunk", "size", "rate", "rows")), strict=True)):
                 if (source, part) != key:
-                    key, asked, got = (source, part), 0.0, 0.0
-                asked += size * rate_
-                n_copies = min(int(CAP), max(0, round((asked - got) / size))) if size else 1
-                got += n_copies * size
-                copies.append(n_copies)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(copies, pa.int64())], names=[*kept, "copies"])
+                    key, asked, got = (source, part), 0.0, 0
+                for _ in range(rows):
+                    asked += size * rate_
+                    n_copies = min(int(CAP), max(0, round((asked - got) / size))) if size else 1
+                    got += n_copies * size
+                    copies.append(n_copies)
+                    at.append(i)
+            places = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(places) for c in kept), pa.array(copies, pa.int64())], names=[*kept, "copies"])
 
     kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in kept)
     return dealt.mapInArrow(run, f"{kinds}, copies long")
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
-    return planned(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return planned(docs, F.xxhash64("text")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` with every row as often as the plan takes it.
-
-    Rows that agree in doc_id, source and size share their copies evenly.
-    """
-
-    def key(size):
-        return F.to_json(F.struct("doc_id", "source", size.alias("size")))
-
-    names = [f"`{c}`" for c in docs.columns]
-    plan = planned(docs).groupBy(key(F.col("size")).alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    keyed = docs.withColumns({"__key": key(sizes()), "__th": F.xxhash64("text")})
-    # The join has dealt rows by the window's key already: the text is shuffled once.
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy("__th"))
-    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__rank") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    copied = keyed.join(plan, "__key").withColumn("__rank", rank).withColumn("__own", own.cast("int")).where("__own > 0")
-    return copied.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*names)
+    """``docs`` with every row as often as the plan takes it; rows that are equal in all columns share their copies."""
+    key, row, copies, each, part = (unused(docs.columns, x) for x in ("key", "row", "copies", "each", "part"))
+    # Maps have no hash; rows that differ in nothing else count as equal.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    tag = F.xxhash64(*hashed)
+
+    def named(size: Column, tag_: Column) -> Column:
+        return F.to_json(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), size.alias("n"), tag_.alias("t")))
+
+    plan = planned(docs, tag).groupBy(named(F.col("size"), F.col("tag")).alias(key)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    plan = written(plan, "mix-plan")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row)
+    one = docs.select(named(sizes(), tag).alias(key), whole).groupBy(key).agg(F.first(row).alias(row))
+    taken = one.join(plan, key)
+    if plan.where(F.col(copies) > SPREAD).isEmpty():
+        copied = taken.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    else:
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = taken.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / SPREAD)))).repartition(n, key, part)
+        copied = parts.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col(copies) - F.col(part) * SPREAD, F.lit(SPREAD).cast("long")))))
+    return copied.select(*(F.col(f"{row}.`{c}`") for c in docs.columns))

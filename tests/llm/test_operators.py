@@ -344,6 +344,40 @@ def test_mixing(spark, seed):
     assert sorted(map(str, found)) == sorted(map(str, again))
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_rates_solve_the_dual(spark, seed):
+    """The rates meet the targets and have the form min(3, exp(x size / mean)), which makes them the closest to 1 in relative entropy."""
+    rng = random.Random(seed)
+    rows = [(s, rng.randrange(1, 400), rng.randrange(1, 30)) for s in ("a", "b", None) for _ in range(60)]
+    histogram = spark.createDataFrame(rows, "source string, size long, n long").groupBy("source", "size").agg(F.sum("n").alias("n"))
+    per_source = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
+    share = F.when(F.col("source") == "a", 0.4).when(F.col("source") == "b", 2.6).otherwise(3.0)
+    aims = per_source.withColumn("target", share * F.col("source_size"))
+    found = {r.source: r for r in mixing.solve(histogram, aims).collect()}
+    assert found[None].x is None
+    for a in aims.where("source is not null").collect():
+        x, mean = found[a.source].x, found[a.source].mean
+        got = sum(r.n * r["size"] * min(3.0, np.exp(x * r["size"] / mean)) for r in histogram.where(F.col("source") == a.source).collect())
+        assert got == pytest.approx(a.target, rel=1e-6)
+
+
+def test_a_source_at_its_cap_takes_all_three_times(spark):
+    rows = [(i, " ".join(["w"] * (1 if i % 2 else 90)), "a") for i in range(40)] + [(100 + i, "w " * 4000, "b") for i in range(40)]
+    found = mixing.mixing_query(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r.taken == 3 * r["size"] for r in found if r.doc_id < 100)
+
+
+def test_many_equal_rows_are_split(spark):
+    rows = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.when(F.col("id") < 4990, "a").otherwise("b").alias("source"))
+    plan = mixing.planned(rows, F.xxhash64("text"))
+    assert plan.count() == 5000
+    runs = [sorted(map(str, mixing.mixing_query(rows.repartition(n)).collect())) for n in (3, 7)]
+    assert runs[0] == runs[1]
+    taken = sum(r.copies * r["size"] for r in plan.where("source = 'a'").collect())
+    assert taken == pytest.approx(plan.where("source = 'a'").first().target, rel=0.01)
+    assert mixing.mixed(rows).count() == plan.agg(F.sum("copies")).first()[0]
+
+
 def test_mixed_rows(odd):
     out = mixing.mixed(odd)
     plan = mixing.mixing_query(odd).agg(F.sum("taken")).first()[0]
