@@ -1,8 +1,9 @@
 """Token counts by a separator scan of flat, unindexed token files.
 
-A flat file is nothing but little-endian ids of a fixed width (16 bits hold the
-vocabulary) with an end-of-document id after each document. Files are cut into blocks of a fixed number of ids that are
-scanned independently: one vectorised comparison finds the separators of a
+A flat file is nothing but little-endian ids of a fixed width with an
+end-of-document id after each document. That id is the first above the
+tokenizer's vocabulary, and the width is 16 bits if it fits, else 32. Files are
+cut into blocks of a fixed number of ids that are scanned independently: one vectorised comparison finds the separators of a
 block. A prefix scan over the blocks' summaries (separators before the block,
 last separator before it) then stitches documents that span blocks, so a
 document's number, start and length never depend on the block size.
@@ -23,29 +24,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .files import create, open_for_reading, part_uri
-from .scratch import new_path, written
-from .tokens import encoder
+from .scratch import drop, new_path, written
+from .tokens import encoder, first_free_id
 
-#: One above the tokenizer's largest id, so no text contains it.
-SEPARATOR = 49_408
 BLOCK = 1 << 20
-WIDTH = "<u2"
 _SCAN = "path string, block long, length long, seps array<long>"
 
 
-def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, tokenizer: str | None = None) -> DataFrame:
+def width_of(separator: int) -> str:
+    """The type of a file's ids, none of which is above its separator."""
+    return "<u2" if separator < 1 << 16 else "<u4"
+
+
+def write_flat(docs: DataFrame, folder: str, separator: int, tokenizer: str | None = None) -> DataFrame:
     """Write one flat file a partition; returns (doc_id, path, ordinal), a document's place in its file."""
+    width = width_of(separator)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([separator], WIDTH).tobytes()
+        encode, end = encoder(tokenizer).encode, np.array([separator], width).tobytes()
         out, n = None, 0
         for batch in batches:
             if out is None and batch.num_rows:
                 path = part_uri(folder, ".ids")
                 out = create(path)
             for text in batch.column(1):
-                out.write(np.frombuffer(encode(text.as_py()), "<u4").astype(WIDTH).tobytes() + end)
+                out.write(np.frombuffer(encode(text.as_py()), "<u4").astype(width).tobytes() + end)
             if batch.num_rows:
                 ordinals = pa.array(range(n, n + batch.num_rows), pa.int64())
                 n += batch.num_rows
@@ -56,10 +60,11 @@ def write_flat(docs: DataFrame, folder: str, separator: int = SEPARATOR, tokeniz
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, path string, ordinal long")
 
 
-def scan_blocks(paths: DataFrame, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
+def scan_blocks(paths: DataFrame, separator: int, block: int = BLOCK) -> DataFrame:
     """(path, block, length, seps) of every block of the files; ``seps`` are positions in the file."""
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    octets = np.dtype(WIDTH).itemsize
+    width = width_of(separator)
+    octets = np.dtype(width).itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +80,7 @@ def scan_blocks(paths: DataFrame, separator: int = SEPARATOR, block: int = BLOCK
                 with open_for_reading(path) as f:
                     f.seek(octets * block * k)
                     data = f.read(octets * block)
-                ids = np.frombuffer(data[: len(data) // octets * octets], WIDTH)
+                ids = np.frombuffer(data[: len(data) // octets * octets], width)
                 found.append((path, k, len(ids), (np.flatnonzero(ids == separator) + block * k)))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], names=["path", "block", "length", "seps"])
@@ -104,9 +109,11 @@ def stitched(blocks: DataFrame) -> DataFrame:
     return ended.unionByName(loose)
 
 
-def token_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def token_counts(docs: DataFrame, block: int = BLOCK, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, start) of every document, counted from flat files of all texts; ``start`` is its place in its file."""
-    spark = docs.sparkSession
-    places = written(write_flat(docs, new_path(spark, "flat")), "flat-places")
-    found = written(scan_blocks(places.select("path").distinct(), block=block), "flat-blocks")
+    spark, separator = docs.sparkSession, first_free_id(tokenizer)
+    folder = new_path(spark, "flat")
+    places = written(write_flat(docs, folder, separator, tokenizer), "flat-places")
+    found = written(scan_blocks(places.select("path").distinct(), separator, block), "flat-blocks")
+    drop(spark, folder)
     return places.join(stitched(found), ["path", "ordinal"]).select("doc_id", "n_tokens", "start")

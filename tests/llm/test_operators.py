@@ -171,6 +171,23 @@ def test_separator_scan(odd, library, block):
     assert found == collections.Counter((d, len(library(t))) for d, t in texts(odd))
 
 
+def test_other_tokenizer_files(odd, tmp_path):
+    """Files with other rules go to the library whole, and ids above 65,535 take 32 bits."""
+    byte_file = public_tokenizers.path("byte_bpe_50k.json")
+    known = Tokenizer.from_file(byte_file)
+    own = TextEncoder(byte_file)
+    for text in ("Two Words  and\tmore é", "", "don't"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == known.encode(text, add_special_tokens=False).ids
+    small = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    small.add_tokens([f"zz{i}" for i in range(17_000)])
+    wide = f"{tmp_path}/wide.json"
+    small.save(wide)
+    rows = odd.select("doc_id", F.concat_ws(" ", "text", F.lit("zz16999 x")).alias("text"))
+    found = collections.Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(rows, 1000, wide).collect())
+    assert found == collections.Counter((d, len(small.encode(t, add_special_tokens=False).ids)) for d, t in texts(rows))
+    assert max(small.encode("zz16999", add_special_tokens=False).ids) >= 1 << 16
+
+
 def test_unterminated_document(spark):
     blocks = spark.createDataFrame([("f", 0, 4, [1]), ("f", 1, 3, []), ("g", 0, 2, [0, 1])], separators._SCAN)
     found = sorted((r.path, r.ordinal, r.start, r.n_tokens, r.terminated) for r in separators.stitched(blocks).collect())
