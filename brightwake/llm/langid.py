@@ -12,7 +12,8 @@ vectors, a batch of texts is scored by one matrix product of its presence matrix
 with the landmarks' presence matrix times the coefficients.
 
 Fitting uses about ``SAMPLE`` texts of each language, picked by a hash of
-``doc_id``; every document is predicted from its whole text.
+``doc_id`` and text, repeated rows once, up to ``CHARACTERS`` in all in the order
+of another hash; every document is predicted from its whole text.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
 if nothing could be learned; null ``doc_id`` rows are predicted and count as not
@@ -38,7 +39,9 @@ LANDMARKS = 40
 RIDGE = 1e-2
 BATCH = 32
 #: Up to so many languages have the full sample and landmarks; with more, each has less, and none is left out.
-FULL_LANGUAGES = 200
+FULL_LANGUAGES = 50
+#: Most characters that are learned from.
+CHARACTERS = 100_000_000
 UNKNOWN = "und"
 
 
@@ -125,18 +128,23 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> Model:
     """Fit on about ``sample`` documents of each language that are not held out."""
     known = docs.select("doc_id", "text", "lang").where(~held_out()).where("lang is not null and doc_id is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02).alias("n")).collect()  # a row a language
     if not sizes:
         return fit([], [])
     sample = max(1, min(sample, sample * FULL_LANGUAGES // len(sizes)))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["n"]))))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    rows = known.where(place < 1_000_000 * F.try_element_at(share, F.col("lang"))).withColumn("place", F.xxhash64("text", "doc_id")).collect()
-    rows.sort(key=lambda r: (r["place"], r["doc_id"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = known.where(place < 1_000_000 * F.try_element_at(share, F.col("lang"))).dropDuplicates(["doc_id", "text", "lang"])
+    found, left = [], characters
+    for r in rows.withColumn("place", F.xxhash64("text", "doc_id")).orderBy("place", "doc_id", "lang").toLocalIterator():
+        left -= len(r["text"])
+        if left < 0:
+            break
+        found.append((r["text"], r["lang"]))
+    return fit([t for t, _ in found], [lang for _, lang in found])
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from brightwake.llm import langid
 
 
@@ -12,3 +14,13 @@ def test_no_language_is_left_out(spark):
     known = {r["lang"] for r in docs.where(~langid.held_out()).select("lang").distinct().collect()}
     assert len(known) > 200
     assert set(langid.train(docs).languages) == known
+
+
+def test_repeated_rows_are_learned_from_once(spark, monkeypatch):
+    docs = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"))
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, languages: seen.append((texts, languages)))
+    monkeypatch.setattr(langid, "SAMPLE", 1_000_000)
+    langid.train(docs, 1_000_000)
+    langid.train(docs, 1_000_000, characters=5)
+    assert seen == [(["the same text"], ["en"]), ([], [])]
