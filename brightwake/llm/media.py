@@ -4,7 +4,13 @@ An Aho-Corasick automaton finds every known magic number in a value in one pass.
 Each hit is only a candidate: a validator of its format walks the structure and
 lengths from there and says how long the object is and which samples it holds,
 or that it is none. The object at offset 0 gives the value's true type, whatever
-was declared; validated objects further in are embedded media and are carved.
+was declared; validated objects further in are embedded media, and ``carved``
+gives their bytes.
+
+The runs of blocks of a GIF are remembered by place, and gzip data is inflated in
+small pieces of bounded output, so that many false hits cost little: work is
+linear in a value, except where a value holds many streams that overlap and each
+decode far before they fail.
 
 ``stored`` keeps each text's bytes, padded with 255 to a positive multiple of
 576, as 8-bit samples of a sound or picture (the format follows from the bytes)
@@ -23,7 +29,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -51,7 +57,57 @@ MAGIC = {
 Found = tuple[int, bytes]
 
 
-def _wav(data: bytes, at: int) -> Found | None:
+class _Runs:
+    """Where runs through a value end; each place is visited once, whatever the number of starts."""
+
+    def __init__(self, size: int) -> None:
+        self._run = memoryview(np.zeros(size + 1, np.uint32))
+        self._ends: list[int | None] = [None]
+
+    def end(self, at: int, step: Callable[[int], tuple[bool, int | None]]) -> int | None:
+        """Follow ``step``: place -> (whether the run is over, its end or else the next place), from ``at``."""
+        run, mine = self._run, len(self._ends)
+        self._ends.append(None)
+        over, place = False, at
+        while not over and place is not None and place < len(run):
+            if run[place]:
+                place = self._ends[run[place]]
+                break
+            run[place] = mine
+            over, place = step(place)
+        else:
+            place = place if over else None
+        self._ends[mine] = place
+        return place
+
+
+class Value:
+    """The bytes of a value, and what validators remember of it."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        #: Ends of gzip members, by the place of their compressed data.
+        self.members: dict[int, int | None] = {}
+        self._searched, self._zero = 0, -1
+
+    def after_zero(self, at: int) -> int | None:
+        """The place after the next zero byte."""
+        if not self._searched <= at <= self._zero:
+            found = self.data.find(0, at)
+            self._searched, self._zero = at, found if found >= 0 else len(self.data)
+        return self._zero + 1 if self._zero < len(self.data) else None
+
+    @cached_property
+    def blocks(self) -> _Runs:
+        return _Runs(len(self.data))
+
+    @cached_property
+    def sections(self) -> _Runs:
+        return _Runs(len(self.data))
+
+
+def _wav(value: Value, at: int) -> Found | None:
+    data = value.data
     if len(data) < at + 12 or data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
@@ -70,7 +126,8 @@ def _wav(data: bytes, at: int) -> Found | None:
     return None if samples is None else (end - at, samples)
 
 
-def _au(data: bytes, at: int) -> Found | None:
+def _au(value: Value, at: int) -> Found | None:
+    data = value.data
     if len(data) < at + 24:
         return None
     start, size, encoding, rate, channels = struct.unpack_from(">5I", data, at + 4)
@@ -79,7 +136,8 @@ def _au(data: bytes, at: int) -> Found | None:
     return start + size, data[at + start : at + start + size]
 
 
-def _bmp(data: bytes, at: int) -> Found | None:
+def _bmp(value: Value, at: int) -> Found | None:
+    data = value.data
     if len(data) < at + 54:
         return None
     size, _, start, header, width, height, planes, depth, packing = struct.unpack_from("<IIIIiiHHI", data, at + 2)
@@ -90,7 +148,10 @@ def _bmp(data: bytes, at: int) -> Found | None:
     return size, (rows if height < 0 else rows[::-1]).tobytes()
 
 
-def _png(data: bytes, at: int) -> Found | None:
+def _png(value: Value, at: int) -> Found | None:
+    data = value.data
+    if data[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
+        return None
     p, shape, packed = at + 8, None, []
     while p + 12 <= len(data):
         size, name = struct.unpack_from(">I4s", data, p)
@@ -116,38 +177,72 @@ def _png(data: bytes, at: int) -> Found | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> Found | None:
+def _gif(value: Value, at: int) -> Found | None:
+    data = value.data
     if len(data) < at + 13:
         return None
-    p = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 128 else 0)
 
-    def blocks(q: int) -> int:
-        while q < len(data) and data[q]:
-            q += data[q] + 1
-        return q + 1
+    def block(q: int) -> tuple[bool, int | None]:
+        if q >= len(data):
+            return True, None
+        return not data[q], q + data[q] + 1
 
-    while p < len(data):
+    def section(p: int) -> tuple[bool, int | None]:
+        if p >= len(data) or data[p] not in (0x3B, 0x21, 0x2C):
+            return True, None
         if data[p] == 0x3B:
-            return p + 1 - at, b""
+            return True, p + 1
         if data[p] == 0x21:
-            p = blocks(p + 2)
-        elif data[p] == 0x2C and p + 10 < len(data):
-            p = blocks(p + 11 + (3 << (data[p + 9] & 7) + 1 if data[p + 9] & 128 else 0))
-        else:
-            return None
-    return None
+            return False, value.blocks.end(p + 2, block)
+        if p + 10 >= len(data):
+            return True, None
+        return False, value.blocks.end(p + 11 + (3 << (data[p + 9] & 7) + 1 if data[p + 9] & 128 else 0), block)
+
+    start = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 128 else 0)
+    if start >= len(data) or data[start] not in (0x3B, 0x21, 0x2C):
+        return None
+    end = value.sections.end(start, section)
+    return None if end is None else (end - at, b"")
 
 
-def _gzip(data: bytes, at: int) -> Found | None:
-    unzip = zlib.decompressobj(31)
+def _inflated(data: memoryview, at: int) -> int | None:
+    """Where a gzip member ends whose compressed data begin here, if they and its checks hold."""
+    unzip, p, piece, crc, size = zlib.decompressobj(-15), at, 64, 0, 0
     try:
-        unzip.decompress(data[at:])
+        while not unzip.eof:
+            if not unzip.unconsumed_tail and p >= len(data):
+                return None
+            taken = unzip.unconsumed_tail or data[p : p + piece]
+            p += 0 if unzip.unconsumed_tail else len(taken)
+            got = unzip.decompress(taken, 1 << 20)
+            crc, size = zlib.crc32(got, crc), size + len(got)
+            piece = min(2 * piece, 1 << 16)
     except zlib.error:
         return None
-    return (len(data) - at - len(unzip.unused_data), b"") if unzip.eof else None
+    p -= len(unzip.unused_data)
+    return p + 8 if bytes(data[p : p + 8]) == struct.pack("<II", crc, size & 0xFFFFFFFF) else None
+
+
+def _gzip(value: Value, at: int) -> Found | None:
+    data = value.data
+    if len(data) < at + 18 or data[at + 3] > 31:
+        return None
+    flags, p = data[at + 3], at + 10
+    if flags & 4:
+        p += 2 + int.from_bytes(data[p : p + 2], "little")
+    for named in (8, 16):
+        if flags & named and p is not None:
+            p = value.after_zero(p)
+    if p is None:
+        return None
+    p += 2 if flags & 2 else 0
+    if p not in value.members:
+        value.members[p] = _inflated(memoryview(data), p)
+    end = value.members[p]
+    return None if end is None else (end - at, b"")
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], Found | None]] = {"wav": _wav, "au": _au, "bmp": _bmp, "png": _png, "gif": _gif, "gzip": _gzip}
+VALIDATORS: dict[str, Callable[[Value, int], Found | None]] = {"wav": _wav, "au": _au, "bmp": _bmp, "png": _png, "gif": _gif, "gzip": _gzip}
 
 
 @cache
@@ -161,10 +256,10 @@ def _automaton() -> ahocorasick.Automaton:
 
 def objects(data: bytes) -> list[tuple[str, int, int, bytes]]:
     """(kind, offset, length, samples) of every validated object in the value, by offset."""
-    out = []
+    out, value = [], Value(data)
     for end, (n, kind) in _automaton().iter(data.decode("latin-1")):
         at = end - n + 1
-        told = VALIDATORS[kind](data, at)
+        told = VALIDATORS[kind](value, at)
         if told:
             out.append((kind, at, *told))
     return sorted(out, key=lambda x: (x[1], -x[2]))
