@@ -17,7 +17,7 @@ Defined results: null or empty text has no spans (``base_sha256`` of the empty
 string, ``spans`` empty); null ``doc_id`` rows and repeated rows are kept as rows;
 an empty table gives an empty result; other columns pass through ``annotate`` and
 ``redact`` unchanged. Candidates that a base span covers are dropped;
-added spans may overlap base spans otherwise.
+added spans may overlap base spans otherwise; extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,12 +30,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import unused, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("secret", "national_id", "iban", "local_phone", "person")
 KINDS = BASE_KINDS + ADDED_KINDS
 
+#: Common first names of the four languages.
+_NAMES = (
+    "Alexander Alice Ana Andrea Andreas Andrew Anna Anne Antonio Barbara Bernard Birgit Brian Camille Carlos Carmen Carol Caroline Catherine Charles Charlotte "
+    "Christian Christine Claire Claude Claudia Daniel David Denis Diego Dieter Edward Elena Elizabeth Emily Emma Erik Eva Fernando Francisco Frank François "
+    "Gabriel George Gerhard Hans Heike Helen Helga Henry Hugo Ingrid Isabel Jacques James Jan Javier Jean Jennifer Jessica Joan John Jorge Joseph José Juan "
+    "Julia Julie Jürgen Karen Karin Karl Katharina Kevin Klaus Laura Laurent Lena Linda Lisa Louis Louise Lucas Lucía Luis Manuel Margaret Maria Marie Marina "
+    "Mark Markus Marta Martin Martine Mary María Matthew Max Michael Michel Miguel Monika Nancy Nathalie Nicolas Nicole Olivier Otto Pablo Patricia Patrick "
+    "Paul Pedro Peter Petra Philippe Pierre Pilar Rafael Ralf Raquel Rebecca Richard Robert Roberto Rosa Sabine Sandra Sara Sarah Sergio Simon Sofía Sophie "
+    "Stefan Stephen Steven Susan Susanne Teresa Thomas Ursula Valérie Vincent Walter Werner William Wolfgang"
+).split()
+#: Lengths of bank account numbers by country.
+_IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _TITLES = r"Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra"
 PATTERNS = {
@@ -53,21 +66,21 @@ PATTERNS = {
 _NEEDS = {"email": "@", "phone": "+"}
 _NEEDS_DIGIT = ("ip", "card", "secret", "national_id", "iban", "local_phone")
 
-#: Strict shapes: (yes, no).
+#: Strict shapes: (yes, no); None never matches. Bank accounts are also checked by length and modulus.
 _SHAPES = {
     "secret": (r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[abp])[_-][A-Za-z0-9_-]{12,})$", r"^[a-z]+(?:[_-][a-z]+)*[_-]?[0-9]{1,4}$"),
     "national_id": (r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^(?:000|666|9)"),
-    "iban": (r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}$", r"^[A-Z]{2}[0-9]{2}\x20?[A-Z\x20]+$"),
+    "iban": (None, None),
     "local_phone": (r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9]", r"^\(?[01]"),
     "person": (r"^[A-Z][^\x20]+\x20[A-Z][^\x20]+$", r"^[A-Z]{2,}$"),
 }
 #: Gazetteers: how a span of the kind begins, for and against.
 _GAZETTEER = {
     "secret": (r"^(?:AKIA|ASIA|sk[_-]|pk[_-]|ghp_|gho_|xox|eyJ|AIza)", r"(?i)^(?:version|release|chapter|section|license|utf|iso|sha|build)"),
-    "national_id": (r"^(?!)", r"^(?:123-45-6789|078-05-1120)$"),
-    "iban": (r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)", r"^(?:XX|ZZ)"),
-    "local_phone": (r"^\(?(?:2[0-9]{2}|3[0-9]{2}|4[0-9]{2}|5[0-9]{2}|6[0-9]{2}|7[0-9]{2}|8[0-9]{2}|9[0-9]{2})\)?", r"^\(?000"),
-    "person": (r"^(?:James|Mary|John|Anna|Peter|Maria|Hans|Marie|Jean|Pierre|Juan|Carlos|Ana|Klaus|Sophie|Laura)\b", r"^(?:Who|No|Evil|Strange)\b"),
+    "national_id": (None, r"^(?:123-45-6789|078-05-1120|219-09-9999|111-11-1111|999-99-9999)$"),
+    "iban": (rf"^(?:{'|'.join(_IBAN_LENGTHS)})", r"^(?:XX|ZZ|ISO|UTF|SHA)"),
+    "local_phone": (r"^\(?(?:800|833|844|855|866|877|888)\)?", r"^\(?(?:000|123|555)\)?[\x20.-](?:000|456|555)[\x20.-]"),
+    "person": (rf"^(?:{'|'.join(_NAMES)})(?![\p{{L}}])", r"^(?:Who|No|Evil|Strange|President|Director|Minister|Chair|Professor|Doctor)(?![\p{L}])"),
 }
 #: Words in the 32 characters before a span, for and against.
 _CONTEXT = {
@@ -150,12 +163,32 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(passing(rank, kind) for rank, kind in enumerate(BASE_KINDS))))
 
 
-def _vote(value: Column, yes_no: tuple[str, str]) -> Column:
-    return F.when(value.rlike(yes_no[1]), -1).when(value.rlike(yes_no[0]), 1).otherwise(0)
+def _vote(value: Column, yes_no: tuple[str | None, str | None]) -> Column:
+    yes, no = yes_no
+    voted = F.when(value.rlike(no), -1) if no else F.when(F.lit(False), -1)
+    return (voted.when(value.rlike(yes), 1) if yes else voted).otherwise(0)
+
+
+def account_checks(account: Column) -> Column:
+    """Whether a bank account number has its country's length and leaves 1 modulo 97, its first four characters moved to the end and letters as 10 to 35."""
+    packed = F.replace(account, F.lit(" "), F.lit(""))
+    lengths = F.create_map(*(F.lit(x) for pair in _IBAN_LENGTHS.items() for x in pair))
+    known = F.try_element_at(lengths, F.substring(packed, 1, 2))
+    turned = F.split(F.concat(F.substring(packed, 5, 64), F.substring(packed, 1, 4)), "")
+
+    def step(rest: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(c == "", rest).when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
+
+    return F.coalesce(known == F.length(packed), F.lit(True)) & (F.aggregate(turned, F.lit(0), step) == 1)
+
+
+def _shape(kind: str, m: Column) -> Column:
+    return F.when(account_checks(m), 1).otherwise(-1) if kind == "iban" else _vote(m, _SHAPES[kind])
 
 
 #: Span features of the final classifier and their numbers of values.
-FEATURES = {"kind": len(ADDED_KINDS), "size": 3, "digits": 3, "case": 2, "cue": 2, "quoted": 2}
+FEATURES = {"kind": len(ADDED_KINDS), "size": 3, "digits": 3, "case": 2, "cue": 2, "quoted": 2, "checked": 3, "listed": 3}
 
 
 def candidates(text: Column) -> Column:
@@ -170,7 +203,7 @@ def candidates(text: Column) -> Column:
                 F.lit(len(BASE_KINDS) + k).alias("rank"),
                 s["end"].alias("end"),
                 F.lit(kind).alias("kind_name"),
-                _vote(s["m"], _SHAPES[kind]).alias("shape"),
+                _shape(kind, s["m"]).alias("shape"),
                 _vote(s["m"], _GAZETTEER[kind]).alias("gazetteer"),
                 _vote(before, _CONTEXT[kind]).alias("context"),
                 F.lit(k).alias("kind"),
@@ -179,6 +212,8 @@ def candidates(text: Column) -> Column:
                 F.when(s["m"].rlike("[A-Z]") & s["m"].rlike("[a-z]"), 1).otherwise(0).alias("case"),
                 F.when(before.rlike(_CONTEXT[kind][0]), 1).otherwise(0).alias("cue"),
                 F.when(before.rlike("[\"'=:]\\s*$"), 1).otherwise(0).alias("quoted"),
+                (_shape(kind, s["m"]) + 1).alias("checked"),
+                (_vote(s["m"], _GAZETTEER[kind]) + 1).alias("listed"),
             )
 
         return F.transform(matches(text, kind), told)
@@ -186,12 +221,12 @@ def candidates(text: Column) -> Column:
     return F.concat(*(proposed(k, kind) for k, kind in enumerate(ADDED_KINDS)))
 
 
-def annotate(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``__base`` spans and ``__cand`` candidates."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    based = docs.select(*keep, text.alias("__text")).withColumn("__base", base_spans(F.col("__text"))).withColumn("__all", candidates(F.col("__text")))
-    clear = F.filter("__all", lambda c: ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
-    return based.withColumn("__cand", clear).drop("__all", "__text")
+def annotate(docs: DataFrame, base: str, cand: str, *keep: str) -> DataFrame:
+    """``keep`` columns of ``docs`` with base spans and candidates in columns of these names."""
+    text, every = unused([*docs.columns, base, cand], "read"), unused([*docs.columns, base, cand], "all")
+    based = docs.select(*keep, F.coalesce("text", F.lit("")).alias(text)).withColumn(base, base_spans(F.col(text))).withColumn(every, candidates(F.col(text)))
+    clear = F.filter(every, lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
+    return based.withColumn(cand, clear).drop(every, text)
 
 
 @dataclass(frozen=True)
@@ -260,9 +295,9 @@ def fit_classifier(rows: list[tuple[tuple[int, ...], float, int]], rounds: int =
     return weights
 
 
-def train(annotated: DataFrame) -> list[float]:
+def train(annotated: DataFrame, cand: str) -> list[float]:
     """The classifier's weights, learned from all candidates."""
-    each = annotated.select(F.explode("__cand").alias("c")).select("c.*")
+    each = annotated.select(F.explode(cand).alias("c")).select("c.*")
     names = [*LABELERS, *FEATURES]
     counted = each.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most one row a combination
     votes: dict = defaultdict(int)
@@ -277,7 +312,7 @@ def train(annotated: DataFrame) -> list[float]:
     return fit_classifier([(f, p / n, n) for f, (p, n) in sorted(merged.items())])
 
 
-def all_spans(weights: list[float]) -> Column:
+def all_spans(weights: list[float], base_spans_: str, cand: str) -> Column:
     """Base spans and the candidates that the classifier accepts, sorted by start, then kind."""
 
     def accepted(c: Column) -> Column:
@@ -287,8 +322,8 @@ def all_spans(weights: list[float]) -> Column:
             base += n
         return score > 0
 
-    added = F.transform(F.filter("__cand", accepted), lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind_name"].alias("kind")))
-    return F.sort_array(F.concat(F.col("__base"), added))
+    added = F.transform(F.filter(cand, accepted), lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind_name"].alias("kind")))
+    return F.sort_array(F.concat(F.col(base_spans_), added))
 
 
 def _listed(spans: Column) -> Column:
@@ -296,17 +331,18 @@ def _listed(spans: Column) -> Column:
 
 
 def pii_query(docs: DataFrame) -> DataFrame:
-    annotated = written(annotate(docs, "doc_id"), "pii-spans")
+    annotated = written(annotate(docs, "base", "cand", "doc_id"), "pii-spans")
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return annotated.select("doc_id", *map(count, BASE_KINDS), F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"), _listed(all_spans(train(annotated))).alias("spans"))
+    return annotated.select("doc_id", *map(count, BASE_KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(all_spans(train(annotated, "cand"), "base", "cand")).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; of overlapping spans the first to begin is named."""
-    annotated = written(annotate(docs, *(F.col(f"`{c}`") for c in docs.columns)), "pii-annotated")
+    base, cand, spans = (unused(docs.columns, x) for x in ("base", "cand", "spans"))
+    annotated = written(annotate(docs, base, cand, *(F.col(f"`{c}`") for c in docs.columns)), "pii-annotated")
     text = F.col("text")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -317,6 +353,6 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     tail = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    spanned = annotated.withColumn("__spans", all_spans(train(annotated)))
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", zero, step, tail)).otherwise(text)
+    spanned = annotated.withColumn(spans, all_spans(train(annotated, cand), base, cand))
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, tail)).otherwise(text)
     return spanned.withColumn("text", clean).select(*(f"`{c}`" for c in docs.columns))
