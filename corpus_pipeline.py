@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brightwake.llm import mixing, packing, pii, simhash, toxicity
-from brightwake.llm.scratch import written
+from brightwake.llm.scratch import drop_others, made, stored
 from brightwake.session import ship
 
 
@@ -59,10 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read back before the next stage."""
+    """All stages over ``documents``; each result is written and read back before the next stage, and what it was made from is then dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = made()
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{name}")
+            docs, path = stored(docs, f"pipeline-{name}")
+            drop_others(spark, [*before, path])
     return docs
