@@ -318,9 +318,11 @@ def admin_summary(u: Universe, spark: SparkSession) -> DataFrame:
     """Several group-bys in one pass over the facts, by grouping sets."""
     names = ["status", "review_status", "period", "state"]
     rows = u.activities.withColumn("review_status", F.coalesce("review_status", F.lit("-")))
-    sets = rows.groupingSets([[F.col(n)] for n in names], *names).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
-    which = F.coalesce(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in names))
-    return sets.select(which.alias("grouping_name"), F.coalesce(*names).alias("value"), "n", "score")
+    sets = rows.groupingSets([[F.col(n)] for n in names], *names).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.sum("score").alias("score"))
+    # One bit a column, the first column's the highest, set where a set leaves the column out.
+    places = {(1 << len(names)) - 1 - (1 << len(names) - 1 - i): n for i, n in enumerate(names)}
+    pick = lambda value: F.coalesce(*(F.when(F.col("g") == g, value(n)) for g, n in places.items()))
+    return sets.select(pick(F.lit).alias("grouping_name"), pick(F.col).alias("value"), "n", "score")
 
 
 @modelled("a35_multi_label", "SELECT count(*) AS n FROM (SELECT id FROM cat GROUP BY id HAVING count(*) > 1)")

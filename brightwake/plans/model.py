@@ -71,21 +71,19 @@ class Universe:
 
 def universe(spark: SparkSession, sf_dir: str) -> Universe:
     orders, customer = tables(spark, sf_dir, "orders"), tables(spark, sf_dir, "customer")
-    lines = (
-        tables(spark, sf_dir, "lineitem")
-        .join(tables(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(tables(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(tables(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(F.col("l_orderkey").alias("id"), F.col("p_type").alias("category"), F.col("n_name").alias("department"))
-    )
-
-    def bridge(member: str) -> DataFrame:
-        counted = lines.groupBy("id", F.col(member).alias("code")).agg(F.count("*").alias("n"))
+    line = tables(spark, sf_dir, "lineitem")
+    suppliers = tables(spark, sf_dir, "supplier").join(tables(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    # Every line has a part and a supplier, so each bridge joins only its own dimension.
+    by_category = line.join(tables(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), F.col("p_type").alias("code"))
+    by_department = line.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("id"), F.col("n_name").alias("code"))
+
+    def bridge(lines: DataFrame) -> DataFrame:
+        counted = lines.groupBy("id", "code").agg(F.count("*").alias("n"))
         first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "code")) == 1
         confidence = F.least(F.lit(0.95), F.lit(0.45) + F.lit(0.1) * F.col("n"))
         return counted.select("id", "code", F.round(confidence, 4).alias("confidence"), first.alias("is_primary"))
 
-    departments = bridge("department").withColumn("code", F.when(F.col("code") == GENERAL_MEMBER, GENERAL).otherwise(F.col("code")))
+    departments = bridge(by_department).withColumn("code", F.when(F.col("code") == GENERAL_MEMBER, GENERAL).otherwise(F.col("code")))
     shown = departments.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("code")), "; ").alias("department_display"))
     with_customer = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     day = F.to_date("o_orderdate")
@@ -109,7 +107,7 @@ def universe(spark: SparkSession, sf_dir: str) -> Universe:
     segment = with_customer.where("c_mktsegment is not null").select(F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("code"))
     staff = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), F.lit("STAFF").alias("code"))
     members = tables(spark, sf_dir, "nation").select(F.col("n_name").alias("code"))
-    return Universe(activities, bridge("category"), departments, segment.unionByName(staff), members)
+    return Universe(activities, bridge(by_category), departments, segment.unionByName(staff), members)
 
 
 def master(spark: SparkSession, names: tuple[str, ...], column: str) -> DataFrame:
