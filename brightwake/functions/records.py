@@ -130,7 +130,7 @@ def table_records(html: Column) -> Column:
     """Rows (title, date, department) of the tables whose first row is a header that can be read."""
 
     def rows(t: Column) -> Column:
-        slots = header_slots(t[0])
+        slots = header_slots(F.get(t, F.lit(0)))
         at = lambda r, name: F.nullif(F.get(r, F.try_element_at(slots, F.lit(name))), F.lit(""))
         each = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda r: F.struct(*(at(r, s).alias(s) for s in SLOTS)))
         return F.when(slots.isNotNull(), each).otherwise(F.array().cast("array<struct<title:string,date:string,department:string>>"))
@@ -141,7 +141,7 @@ def table_records(html: Column) -> Column:
 def title_from_block(block: Column) -> Column:
     """What comes before the first verb of a report, without article and date tail; at most 220 characters."""
     head = F.regexp_replace(block, r"(?i)\s+(?:was|were|is|are|has|have|had)\b.*$", "")
-    bare = F.regexp_replace(F.regexp_replace(head, r"(?i)^\s*(?:the|an|a)\s+", ""), r"(?i)\s+(?:on|in|from)\s+[^a-z]*\d{4}.*$", "")
+    bare = F.regexp_replace(F.regexp_replace(head, r"(?i)^\s*(?:the|an|a)\s+", ""), r"(?i)\s+(?:on|in|from)\s+[^.;,]{0,24}\d{4}.*$", "")
     return F.trim(F.left(F.trim(bare), F.lit(220)))
 
 
@@ -217,7 +217,7 @@ def ordered_distinct(u: Universe, spark: SparkSession) -> DataFrame:
 
 @query(
     "f27_title_from_block",
-    r"""SELECT conv_id, turn, trim(left(trim(regexp_replace(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '(?i)\s+(was|were|is|are|has|have|had)\b.*$', ''), '(?i)^\s*(the|an|a)\s+', ''), '(?i)\s+(on|in|from)\s+[^a-z]*\d{4}.*$', '')), 220)) AS title FROM conversations""",
+    r"""SELECT conv_id, turn, trim(left(trim(regexp_replace(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '(?i)\s+(was|were|is|are|has|have|had)\b.*$', ''), '(?i)^\s*(the|an|a)\s+', ''), '(?i)\s+(on|in|from)\s+[^.;,]{0,24}\d{4}.*$', '')), 220)) AS title FROM conversations""",
     base=False,
 )
 def title_from_block_query(spark: SparkSession, d: str) -> DataFrame:
