@@ -1,6 +1,6 @@
 """Importing this module registers all of the engine's own queries."""
 
-from .functions import classify, dates, records, text, urls  # noqa: F401
+from .functions import classify, dates, records, resolve, text, urls  # noqa: F401
 from .operators import aggregates, audit, changes, dedup, evaluate, filters, groups, more, ranking  # noqa: F401
 from .plans import nlq  # noqa: F401
 from .streaming import ingest  # noqa: F401
