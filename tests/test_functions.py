@@ -129,7 +129,7 @@ POSTS = [
     ("Admissions open! Apply for admission now; internship and placement support for everyone who joins us this coming year, limited seats.", "NON_ACTIVITY", "G", "communication_override:admission_promo"),
     ("Wishing you all a very happy diwali from the whole family of the college, may it be joyous and bright for each one of you!", "NON_ACTIVITY", "H", "communication_only:greeting"),
     ("Nothing in these words says that anything took place anywhere at any time, so that a person has to look at it once.", "REVIEW_REQUIRED", "I", "insufficient_evidence"),
-    ("The journal published a patent by our research scholar, who also gave a keynote at the international conference last week.", "ACTIVITY_CANDIDATE", "C", "activity_evidence:RESEARCH,CONFERENCE,GUEST_LECTURE"),
+    ("The journal published a patent by our research scholar, who also gave a keynote at the international conference last week.", "ACTIVITY_CANDIDATE", "C", "activity_evidence:RESEARCH,GUEST_LECTURE,INTERNSHIP"),
 ]
 
 
