@@ -330,12 +330,11 @@ _FIELD_SQL = {
 }
 
 
-@modelled("c26_report_fields", "SELECT id, " + ", ".join(f"{sql} AS {name}" for name, sql in _FIELD_SQL.items()) + " FROM act")
-def report_fields(u: Universe, spark: SparkSession) -> DataFrame:
-    """Fields that a report's sentences state (also the date range, duration, batch, venue, persons and organizer of an activity)."""
+def report_text() -> Column:
+    """An activity told in sentences."""
     i, c = F.col("id"), lambda x: x.cast("string")
     shown = lambda n: F.date_format(F.date_add("day", n), "d MMMM yyyy")
-    text = F.concat_ws(
+    return F.concat_ws(
         " ",
         F.concat(F.lit("The chief guest was Dr. Anna Member"), c(i % 7), F.lit(".")),
         F.when(i % 2 == 0, F.concat(F.lit("There was a lecture by Prof. Speaker"), c(i % 5), F.lit("."))),
@@ -344,7 +343,12 @@ def report_fields(u: Universe, spark: SparkSession) -> DataFrame:
         F.concat(F.lit("It aims to reach customer "), c(F.col("customer")), F.lit('; on the topic "Order '), c(i), F.lit('".')),
         F.concat(F.lit("It ran from "), shown(0), F.lit(" to "), shown(3), F.lit(", "), c(1 + i % 6), F.lit(" days, for the batch of 1990-1994.")),
     )
-    return u.activities.select("id", *fields_of(text))
+
+
+@modelled("c26_report_fields", "SELECT id, " + ", ".join(f"{sql} AS {name}" for name, sql in _FIELD_SQL.items()) + " FROM act")
+def report_fields(u: Universe, spark: SparkSession) -> DataFrame:
+    """Fields that a report's sentences state (also the date range, duration, batch, venue, persons and organizer of an activity)."""
+    return u.activities.select("id", *fields_of(report_text()))
 
 
 @modelled("x06_activity_id", "SELECT id, id AS found FROM act WHERE id % 2 = 0 UNION ALL SELECT id, NULL FROM act WHERE id % 2 = 1")

@@ -219,22 +219,29 @@ def stakeholder_cues(spark: SparkSession, d: str) -> DataFrame:
 _B, _E = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 
 
-@query(
-    "c22_evidence_assessment",
-    rf"""WITH s AS (SELECT doc_id, least(1.0, 0.18 * (regexp_matches(lower(text), '{_B}(the|der|les|los){_E}')::INT + regexp_matches(lower(text), '{_B}(and|und|et|y){_E}')::INT + regexp_matches(lower(text), '{_B}(license|licensed){_E}')::INT)
-+ 0.16 * (regexp_matches(lower(text), '{_B}(was|ist|est|es){_E}')::INT + regexp_matches(lower(text), '{_B}(released|under){_E}')::INT))::DOUBLE AS score FROM documents) SELECT doc_id, round(score, 4) AS score, round(score, 4) >= 0.5 AS enough FROM s""",
-    base=False,
-)
-def evidence_assessment(spark: SparkSession, d: str) -> DataFrame:
-    """min(1, 0.18 a term + 0.16 an action), by whole words; at least 0.5 is enough."""
-    terms, actions = ("the|der|les|los", "and|und|et|y", "license|licensed"), ("was|ist|est|es", "released|under")
-    lowered = tables(spark, d, "documents").select("doc_id", F.lower("text").alias("body"))
-    score = F.lit(0.0)
-    for weight, groups in ((0.18, terms), (0.16, actions)):
+def _told_sql(*groups: str) -> str:
+    return " + ".join(f"regexp_matches(lower(text), '{_B}({g}){_E}')::INT" for g in groups)
+
+
+#: What evidence is made of: each of the terms and of the actions found counts once.
+TERMS, ACTIONS = ("the|der|les|los", "and|und|et|y", "license|licensed"), ("was|ist|est|es", "released|under")
+EVIDENCE_SQL = f"round(least(1.0, 0.18 * ({_told_sql(*TERMS)}) + 0.16 * ({_told_sql(*ACTIONS)}))::DOUBLE, 4)"
+
+
+def evidence(text: Column) -> Column:
+    """min(1, 0.18 a term + 0.16 an action), by whole words."""
+    body, score = F.lower(text), F.lit(0.0)
+    for weight, groups in ((0.18, TERMS), (0.16, ACTIONS)):
         for g in groups:
-            score = score + F.when(F.col("body").rlike(rf"\b({g})\b"), weight).otherwise(0.0)
-    rounded = F.round(F.least(F.lit(1.0), score), 4)
-    return lowered.select("doc_id", rounded.alias("score"), (rounded >= 0.5).alias("enough"))
+            score = score + F.when(body.rlike(rf"\b({g})\b"), weight).otherwise(0.0)
+    return F.round(F.least(F.lit(1.0), score), 4)
+
+
+@query("c22_evidence_assessment", f"SELECT doc_id, {EVIDENCE_SQL} AS score, {EVIDENCE_SQL} >= 0.5 AS enough FROM documents", base=False)
+def evidence_assessment(spark: SparkSession, d: str) -> DataFrame:
+    """At least 0.5 is enough."""
+    rated = tables(spark, d, "documents").select("doc_id", evidence(F.col("text")).alias("score"))
+    return rated.withColumn("enough", F.col("score") >= 0.5)
 
 
 @query(

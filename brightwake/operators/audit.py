@@ -11,6 +11,7 @@ from ..plans.model import CATEGORIES, DEFAULT_STAKEHOLDER, Universe, modelled, q
 from ..sources.store import stored_table
 from .changes import IMMUTABLE, checked_change
 from .evaluate import golden_accuracy, macro_micro, per_label_query, rates
+from .ranking import numbered
 
 #: Fields of a record in the change log that may be edited.
 EDITABLE = ("click", "purchase", "signup", "view")
@@ -228,7 +229,7 @@ def incremental_import(spark: SparkSession, d: str) -> DataFrame:
     rows = tables(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text", (F.col("doc_id") % 5 == 0).alias("incoming"))
     old = rows.where("not incoming")
     first = rows.where("incoming").join(old.select("text").distinct(), "text", "left_anti").groupBy(F.sha2("text", 256).alias("key")).agg(F.min("row_id").alias("first_row"))
-    placed = stored_table(numbered(stored_table(first, "import-new"), "first_row", "place"), "import-ids")
+    placed = stored_table(numbered(stored_table(first, "import-new"), ["first_row"], "place"), "import-ids")
     top = old.agg(F.max("row_id").alias("top"))
     ids = placed.crossJoin(top).select("key", "first_row", (F.coalesce("top", F.lit(0)) + F.col("place")).alias("post_id"))  # by one row
     joined = rows.where("incoming").withColumn("key", F.sha2("text", 256)).join(ids, "key", "left")
@@ -236,16 +237,6 @@ def incremental_import(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("row_id", "post_id", action.alias("action"))
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """``rows`` with their place from 1 by ``order`` (without ties): range parts are numbered on their own and shifted by the sizes of the parts before."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = stored_table(rows.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()), "numbered")
-    sizes = parted.groupBy("part").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a part
-    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) + F.col("before")
-    return parted.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").withColumn(name, place.cast("long")).drop("part", "before")
-
-
 @query("t09_within_batch", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) = 1 AS fresh FROM events", base=False)
 def within_batch(spark: SparkSession, d: str) -> DataFrame:
     """In a batch (a day) only the first row of a key is new; the later ones see it."""
@@ -268,7 +259,7 @@ UNION ALL SELECT 'breakdown', row_number() OVER (ORDER BY code), code, count(*)
 def result_export(u: Universe, spark: SparkSession) -> DataFrame:
     """Numbered rows of a result, and a block that counts them by department."""
     rows = u.activities.where("period = '1997-98' and status = 'REPORTABLE'").select("id", "title", "department_display")
-    listed = numbered(rows, "id", "s_no").select(F.lit("row").alias("block"), "s_no", F.col("title").alias("label"), F.col("id").alias("value"))
+    listed = numbered(rows, ["id"], "s_no").select(F.lit("row").alias("block"), "s_no", F.col("title").alias("label"), F.col("id").alias("value"))
     counted = rows.select(F.explode(F.split("department_display", "; ")).alias("label")).groupBy("label").agg(F.count("*").alias("value"))
     place = F.row_number().over(Window.orderBy("label")).cast("long")  # one row a department
     return listed.unionByName(counted.select(F.lit("breakdown").alias("block"), place.alias("s_no"), "label", "value"))

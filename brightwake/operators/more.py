@@ -10,6 +10,7 @@ from ..plans.model import CATEGORIES, GENERAL, PERIODS, PUBLIC_NAMES, Universe,
 from ..sources.store import stored_table
 from .aggregates import n_distinct, parts
 from .filters import Filter, narrowed
+from .ranking import numbered
 
 
 @modelled("p04_source_urls", "SELECT customer, min(url) AS primary_url, array_to_string(list_sort(list_distinct(list(url))), ' ') AS urls FROM act WHERE url IS NOT NULL GROUP BY customer")
@@ -274,7 +275,8 @@ def category_report(u: Universe, spark: SparkSession) -> DataFrame:
     """Numbered rows of every category's report for a period."""
     names = F.create_map(*(F.lit(x) for c in CATEGORIES for x in (c, PUBLIC_NAMES[c])))
     rows = narrowed(u, Filter(period="1996-97")).join(u.categories.where("is_primary").select("id", "code"), "id")
-    return rows.select("code", names[F.col("code")].alias("name"), F.row_number().over(Window.partitionBy("code").orderBy("day", "id")).cast("long").alias("s_no"), "id", "title", "day")
+    listed = numbered(rows.select("code", "id", "title", "day"), ["day", "id"], "s_no", ("code",))
+    return listed.select("code", names[F.col("code")].alias("name"), "s_no", "id", "title", "day")
 
 
 @modelled("c30_reclassify", "SELECT cat.id, code, CASE WHEN code <> 'SMALL' THEN code WHEN url IS NOT NULL THEN 'LARGE' WHEN score >= 6 THEN 'MEDIUM' ELSE 'REVIEW' END AS new_code FROM cat JOIN act USING (id)")

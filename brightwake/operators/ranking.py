@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import CATEGORIES, PERIODS, Universe, master, modelled
+from ..sources.store import stored_table
 from .aggregates import n_distinct
 
 
@@ -124,10 +125,25 @@ def primary_label(u: Universe, spark: SparkSession) -> DataFrame:
     return best.select("id", "m.code")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, group: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with their place from 1 by ``order`` (without ties), in each group (not null) if there are groups.
+
+    Range parts are numbered on their own and shifted by the sizes of the group's
+    parts before, so a group of many rows is not one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = stored_table(rows.repartitionByRange(n, *group, *order).withColumn("part", F.spark_partition_id()), "numbered")
+    sizes = parted.groupBy(*group, "part").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part and group
+    before = sizes.select(*group, "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*group, "part").orderBy(*order)) + F.col("before")
+    return parted.join(before, [*group, "part"]).withColumn(name, place.cast("long")).drop("part", "before")
+
+
 @modelled("w09_serial_number", "SELECT period, id, row_number() OVER (PARTITION BY period ORDER BY day, id) AS serial FROM act")
 def serial_number(u: Universe, spark: SparkSession) -> DataFrame:
     """Serial numbers of each report (one period)."""
-    return u.activities.select("period", "id", F.row_number().over(Window.partitionBy("period").orderBy("day", "id")).cast("long").alias("serial"))
+    return numbered(u.activities.select("period", "day", "id"), ["day", "id"], "serial", ("period",)).select("period", "id", "serial")
 
 
 @modelled("o01_sorted_page", "SELECT id, academic_year, price FROM act ORDER BY academic_year DESC NULLS LAST, id DESC LIMIT 20 OFFSET 40")
