@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, langid, media, mixing, packing, pii, quality, separators, simhash, toxicity
+from . import alignment, bitplanes, langid, media, mixing, packing, pii, quality, runs, separators, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(_documents(spark, sf_dir))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_query(_documents(spark, sf_dir))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs_query(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media_sniffing": op2_media_sniffing,
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_string_kernel": op9_string_kernel,
     "op10_simhash": op10_simhash,
+    "op12_alignment": op12_alignment,
+    "op13_runs": op13_runs,
 }
 
 #: DuckDB SQL of those that SQL can express.

@@ -32,7 +32,7 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-į]*")
 KEPT_WORDS = 200_000
 
 
-def _byte_letters() -> list[str]:
+def letters_of_bytes() -> list[str]:
     """The character that stands for each byte: itself if it prints, else the next one from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = iter(range(256, 512))
@@ -45,7 +45,7 @@ class _Words(dict):
     def __init__(self, model, kept: int) -> None:
         super().__init__()
         self._model, self._kept, self._older = model, kept, {}
-        self._letters = _byte_letters()
+        self._letters = letters_of_bytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self._older.get(word)
