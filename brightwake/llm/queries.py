@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bitplanes, langid, media, mixing, packing, pii, quality, runs, separators, simhash, toxicity
+from . import alignment, bitplanes, html, langid, media, mixing, packing, pii, quality, runs, separators, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(_documents(spark, sf_dir))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_query(_documents(spark, sf_dir))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_string_kernel": op9_string_kernel,
     "op10_simhash": op10_simhash,
+    "op11_html": op11_html,
     "op12_alignment": op12_alignment,
     "op13_runs": op13_runs,
 }
