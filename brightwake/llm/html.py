@@ -93,7 +93,7 @@ class Line(NamedTuple):
     heading: bool
     #: Left out: of a menu, an advert and the like.
     other: bool
-    #: Innermost article, and innermost main part, by number; 0 is none.
+    #: Innermost article, negative within another, and innermost main part, by number; 0 is none.
     article: int
     main: int
 
@@ -203,7 +203,7 @@ class _Stripper:
             wrapped = False
         if name == "article" and not other:
             self._parts += 1
-            article = self._parts
+            article = -self._parts if article else self._parts
         elif main and not other:
             self._parts += 1
             kept_main = self._parts
@@ -321,11 +321,11 @@ def surges(weights: list[int], least: int, window: int = LINES) -> list[tuple[in
 
 def _scope(lines: list[Line]) -> tuple[list[bool], bool]:
     """Which lines sums are taken over, and whether the page named them."""
-    for kind in ("article", "main"):
+    for kind, sign in (("article", 1), ("article", -1), ("main", 1)):
         sizes: dict[int, int] = {}
         for line in lines:
             part = getattr(line, kind)
-            if part and not line.other:
+            if part * sign > 0 and not line.other:
                 sizes[part] = sizes.get(part, 0) + len(line.text) - line.linked
         most = max(sizes.values(), default=0)
         if most:
