@@ -11,9 +11,11 @@ texts and landmarks and K_mm that among landmarks, the coefficients are
 vectors, a batch of texts is scored by one matrix product of its presence matrix
 with the landmarks' presence matrix times the coefficients.
 
-Fitting uses about ``SAMPLE`` texts of each language, picked by a hash of
-``doc_id`` and text, repeated rows once, up to ``CHARACTERS`` in all in the order
-of another hash; every document is predicted from its whole text.
+Fitting uses up to ``SAMPLE`` texts of each language, those of the least hashes of
+``doc_id`` and text, and its shortest one, repeated rows once. All languages share
+``CHARACTERS`` in equal parts; a text that does not fit into what is left of its
+language's part is passed over, so a language is learned if its shortest text fits.
+Every document is predicted from its whole text.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
 if nothing could be learned; null ``doc_id`` rows are predicted and count as not
@@ -29,9 +31,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .samples import fitting
+
 ORDERS = 4
 CELLS = 1 << 15
 SAMPLE = 200
@@ -129,21 +133,23 @@ def held_out():
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> Model:
-    """Fit on about ``sample`` documents of each language that are not held out."""
+    """Fit on up to ``sample`` documents of each language, and its shortest one, that are not held out."""
     known = docs.select("doc_id", "text", "lang").where(~held_out()).where("lang is not null and doc_id is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02).alias("n")).collect()  # a row a language
+    known = known.withColumn("key", F.xxhash64("doc_id", "text"))
+    shortest = F.min(F.struct(F.length("text").alias("n"), F.col("key").alias("key")))["key"]
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n"), shortest.alias("shortest")).collect()  # a row a language
     if not sizes:
         return fit([], [])
     sample = max(1, min(sample, sample * FULL_LANGUAGES // len(sizes)))
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["n"]))))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    rows = known.where(place < 1_000_000 * F.try_element_at(share, F.col("lang"))).dropDuplicates(["doc_id", "text", "lang"])
-    found, left = [], characters
-    for r in rows.withColumn("place", F.xxhash64("text", "doc_id")).orderBy("place", "doc_id", "lang").toLocalIterator():
-        left -= len(r["text"])
-        if left < 0:
-            break
-        found.append((r["text"], r["lang"]))
+    # More are drawn than are taken, so that a language has its least hashes among them.
+    shares = [(r["lang"], min(1.0, (3 * sample + 20) / max(1, r["n"])), r["shortest"]) for r in sizes]
+    drawn = known.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double, shortest long")), "lang")
+    # The whole hash as a number from 0 to 1, so that any share can be drawn.
+    drawn = drawn.where((F.col("key") / F.lit(2.0**64) + 0.5 < F.col("share")) | (F.col("key") == F.col("shortest")))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
+    taken = drawn.dropDuplicates(["doc_id", "text", "lang"]).withColumn("turn", turn).where((F.col("turn") <= sample) | (F.col("key") == F.col("shortest")))
+    ordered = taken.orderBy(F.xxhash64("text", "doc_id"), "doc_id", "lang").select("text", "lang")
+    found = fitting(((r["text"], r["lang"]) for r in ordered.toLocalIterator()), characters // len(sizes))
     return fit([t for t, _ in found], [lang for _, lang in found])
 
 

@@ -11,14 +11,21 @@ folder used when the setting is missing.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: dict[str, str] = {}
-#: Folders made and not dropped yet, oldest first.
-_made: list[str] = []
+_of_thread = threading.local()
+
+
+def _made() -> list[str]:
+    """Folders that this thread's queries made and that are not dropped yet, oldest first."""
+    if not hasattr(_of_thread, "made"):
+        _of_thread.made = []
+    return _of_thread.made
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,7 +48,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_root(spark).rstrip('/')}/brightwake/{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made().append(path)
     return path
 
 
@@ -70,15 +77,15 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        if path in _made:
-            _made.remove(path)
+        if path in _made():
+            _made().remove(path)
 
 
 def made() -> list[str]:
-    """The folders that exist now, to tell later which are new."""
-    return list(_made)
+    """This thread's folders that exist now, to tell later which are new."""
+    return list(_made())
 
 
 def drop_others(spark: SparkSession, keep: list[str]) -> None:
-    """Delete all folders made but those in ``keep``; for a caller whose results no longer read them."""
+    """Delete all folders that this thread made but those in ``keep``; for a caller whose results no longer read them."""
     drop(spark, *(path for path in made() if path not in keep))

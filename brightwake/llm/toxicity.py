@@ -18,8 +18,9 @@ that scores is the mean of these. Both classes weigh the same in the map, so a
 score is the probability of label 1 where both labels are equally frequent.
 
 Fitting uses about ``SAMPLE`` toxic and ``CLEAN`` times as many clean labelled
-rows, picked by a hash of ``doc_id``, one text for each, up to ``CHARACTERS`` in
-all in the order of another hash; scoring covers every document's whole text.
+rows, picked by a hash of ``doc_id``, one text for each, in the order of another
+hash. Each label has half of ``CHARACTERS``; a text that does not fit into what is
+left of that is passed over. Scoring covers every document's whole text.
 
 Defined results: null, empty or blank text scores 0; null ``doc_id`` rows are
 scored and count as not held out; a document with repeated or conflicting labels
@@ -41,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .samples import fitting
 from .scratch import unused
 
 ROWS = 1 << 17
@@ -52,7 +54,7 @@ SAMPLE = 1500
 #: Clean documents for each toxic one.
 CLEAN = 3
 #: Most characters that are learned from.
-CHARACTERS = 200_000_000
+CHARACTERS = 50_000_000
 FOLDS = 3
 ROUNDS = 5
 EPOCHS = 18
@@ -319,17 +321,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
     known = labels.where(~held_out()).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(sample / max(1, sizes.get(1, 0)))).otherwise(F.lit(CLEAN * sample / max(1, sizes.get(0, 0))))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share)
+    # The whole hash as a number from 0 to 1, so that any share can be drawn.
+    picked = known.where(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 < share)
     # About (1 + CLEAN) * sample rows by the shares, whatever the tables' sizes.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found, left = [], characters
-    for r in rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").toLocalIterator():
-        left -= len(r["text"] or "")
-        if left < 0:
-            break
-        found.append((r["doc_id"], r["text"] or "", r["toxic"]))
-    found.sort(key=lambda f: f[0])
-    return fit([f[1] for f in found], [f[2] for f in found])
+    ordered = rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
+    found = fitting(((r["text"] or "", (r["toxic"], r["doc_id"])) for r in ordered.toLocalIterator()), characters // 2, of=lambda label: label[0])
+    found.sort(key=lambda f: f[1][1])
+    return fit([text for text, _ in found], [label[0] for _, label in found])
 
 
 def scored(docs: DataFrame, model: Model, score: str, *keep: str) -> DataFrame:
