@@ -10,8 +10,9 @@ one window of bytes, from which their ends follow, so a row is no token and a lo
 is many rows.
 
 How often a pair of ids is linked is counted over the corpus. Counts come back to the
-documents by chunk, the part that one machine made: a chunk meets its own pairs once,
-however many documents hold them, so a frequent pair is one row of each chunk.
+documents by chunk, which is what a few machines made, by the size of the texts: a chunk
+meets its own pairs once, however many documents hold them, so a frequent pair is one row
+of each chunk.
 
 Word by word, ids are kept from the first time they are met: A splits a text by its
 pattern and B cannot merge over the space before a word, so words are encoded on their
@@ -29,6 +30,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +48,8 @@ from .tokens import letters_of_bytes
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in one block of events, and in one chunk.
 WINDOW, CHUNK = 1 << 16, 1 << 25
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 21
 #: Words whose ids a worker keeps of each tokenizer; longer words are not kept.
 KEPT_WORDS, KEPT_CHARS = 300_000, 64
 #: Pairs that a machine counts before it hands them on.
@@ -60,33 +64,69 @@ _SPACE = "\u2581"
 
 
 class _Kept(dict):
-    """Ids of words as bytes; a missing word is encoded, and all go when there are too many."""
+    """Ids of words as bytes; all go when there are too many. ``wrong`` has the words whose tokens have other bytes."""
 
-    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], side: _Side) -> None:
         super().__init__()
-        self._encode = encode
+        self._encode, self._side = encode, side
+        self.wrong: set[str] = set()
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that are not kept yet, together."""
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        new = [w for w in words if w not in self and len(w) <= KEPT_CHARS]
+        found = self._encode(new)
+        flat = list(chain.from_iterable(found))
+        ends = np.cumsum([len(ids) for ids in found], dtype=np.int64)
+        data = np.array(flat, "<u4").tobytes()
+        at = (4 * ends).tolist()
+        self.update(zip(new, map(data.__getitem__, map(slice, [0, *at], at)), strict=True))
+        # All at once, and one by one only if anything is wrong.
+        octets = [w.encode() for w in new]
+        sizes = np.diff(np.append(0, np.cumsum(self._side.sizes[flat])[ends - 1]) if new else [0])
+        if self._side.text_of(flat) != b"".join(octets) or (sizes != [len(o) for o in octets]).any():
+            self.wrong.update(w for w, o, ids in zip(new, octets, found, strict=True) if self._side.text_of(ids) != o)
+
+    def _judged(self, word: str, ids: list[int]) -> bytes:
+        if self._side.text_of(ids) != word.encode():
+            self.wrong.add(word)
+        return np.array(ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self._encode(word), "<u4").tobytes()
-        if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return self._judged(word, self._encode([word])[0])
 
 
 class _Side:
     """One tokenizer: the ids of space and text, and the bytes of each id."""
 
     tokens: list[bytes]
-
-    def _finish(self) -> None:
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
-
-    def checked(self, text: str) -> np.ndarray | None:
-        """Ids of the whole text, if their bytes are those of space and text."""
-        ids = self.ids(text)
-        return ids if b"".join(map(self.tokens.__getitem__, ids.tolist())) == b" " + text.encode() else None
+    sizes: np.ndarray
+    _kept: _Kept
+
+    def text_of(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def split(self, text: str) -> list[str] | None:
+        """The words of space and text that can be encoded on their own, if it has only such."""
+        raise NotImplementedError
+
+    def whole(self, text: str) -> list[int]:
+        raise NotImplementedError
+
+    def checked(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each whole text, if their bytes are those of space and text."""
+        found = [self.split(t) for t in texts]
+        self._kept.learn(set().union(*filter(None, found)))
+        out: list[np.ndarray | None] = []
+        for text, words in zip(texts, found, strict=True):
+            if words is not None:
+                ids = np.frombuffer(b"".join(map(self._kept.__getitem__, words)), "<u4")
+                out.append(ids if not self._kept.wrong or self._kept.wrong.isdisjoint(words) else None)
+            else:
+                plain = self.whole(text)
+                out.append(np.array(plain, "<u4") if self.text_of(plain) == b" " + text.encode() else None)
+        return out
 
 
 class ByteLevel(_Side):
@@ -95,22 +135,23 @@ class ByteLevel(_Side):
         self._library.encode_special_tokens = True
         rules = json.loads(self._library.to_str())
         before = rules["pre_tokenizer"] or {}
-        self._by_words = (rules["normalizer"], before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == (None, "ByteLevel", False, True)
+        self.by_words = (rules["normalizer"], before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == (None, "ByteLevel", False, True)
         letters = letters_of_bytes()
         byte = {c: bytes([b]) for b, c in enumerate(letters)}
         words = self._library.get_vocab(with_added_tokens=True)
         self.tokens = [b""] * (max(words.values()) + 1)
         for word, i in words.items():
             self.tokens[i] = b"".join([byte.get(c) or c.encode() for c in word])
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         model = self._library.model
-        self._kept = _Kept(lambda word: [t.id for t in model.tokenize("".join([letters[b] for b in word.encode()]))])
-        self._finish()
+        shown = lambda word: word.replace(" ", letters[32]) if word.isascii() and word.lstrip(" ").isprintable() else "".join([letters[b] for b in word.encode()])
+        self._kept = _Kept(lambda words: [[t.id for t in model.tokenize(shown(w))] for w in words], self)
 
-    def ids(self, text: str) -> np.ndarray:
-        text = " " + text
-        if self._by_words and _PLAIN.fullmatch(text):
-            return np.frombuffer(b"".join(map(self._kept.__getitem__, _SPLIT.findall(text))), "<u4")
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4")
+    def split(self, text: str) -> list[str] | None:
+        return _SPLIT.findall(" " + text) if self.by_words and _PLAIN.fullmatch(text) else None
+
+    def whole(self, text: str) -> list[int]:
+        return self._library.encode(" " + text, add_special_tokens=False).ids
 
 
 class Pieces(_Side):
@@ -118,21 +159,20 @@ class Pieces(_Side):
         self._library = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(B_FILE))
         pieces = [self._library.id_to_piece(i) for i in range(self._library.get_piece_size())]
         self.tokens = [bytes([int(p[3:5], 16)]) if self._library.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        # The one rule that cutting before a word needs; it is tried on words of the model, too.
-        inside = re.compile(f"[^{_SPACE}]{_SPACE}")
-        probe = "a  b c \n d  "
-        self._space = self._library.piece_to_id(_SPACE)
-        self._kept = _Kept(lambda word: self._library.encode(word[1:]) if word != " " else [self._space])
-        self._by_words = not any(inside.search(p) for p in pieces) and self._library.id_to_piece(self._space) == _SPACE and self._words(probe).tolist() == self._library.encode(probe)
-        self._finish()
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        space = self._library.piece_to_id(_SPACE)
+        # The model adds the first space itself, but to an empty text.
+        self._kept = _Kept(lambda words: [ids if w != " " else [space] for w, ids in zip(words, self._library.encode([w[1:] for w in words], num_threads=1), strict=True)], self)
+        # The one rule that cutting before a word needs; it is tried on a text, too.
+        inside, probe = re.compile(f"[^{_SPACE}]{_SPACE}"), "a  b c \n d  "
+        self.by_words = not any(inside.search(p) for p in pieces) and self._library.id_to_piece(space) == _SPACE
+        self.by_words = self.by_words and sum(self._library.encode([w[1:] for w in _SPACED.findall(" " + probe)]), []) == self._library.encode(probe)
 
-    def _words(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._kept.__getitem__, _SPACED.findall(" " + text))), "<u4")
+    def split(self, text: str) -> list[str] | None:
+        return _SPACED.findall(" " + text) if self.by_words and _SPACE not in text else None
 
-    def ids(self, text: str) -> np.ndarray:
-        if self._by_words and _SPACE not in text:
-            return self._words(text)
-        return np.array(self._library.encode(text), "<u4")
+    def whole(self, text: str) -> list[int]:
+        return self._library.encode(text)
 
 
 _sides: dict[tuple, tuple[ByteLevel, Pieces]] = {}
@@ -156,12 +196,13 @@ def token_events(docs: DataFrame, paths: tuple[str | None, str | None] = (None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, part, press = sides(paths), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+
+        def encoded(held: list[tuple]) -> pa.RecordBatch:
             rows: list[tuple] = []
-            size = 0
-            for doc, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = text.as_py()
-                found = [side.checked(text) for side in both] if text else [None]
+            there = [i for i, (_, _, text) in enumerate(held) if text]
+            ids_of = dict(zip(there, zip(*(side.checked([held[i][2] for i in there]) for side in both), strict=True), strict=True))
+            for i, (doc, h, _) in enumerate(held):
+                found = ids_of.get(i, (None,))
                 if any(ids is None for ids in found):
                     rows.append((doc, h, part, 0, 0, None))
                     continue
@@ -173,12 +214,18 @@ def token_events(docs: DataFrame, paths: tuple[str | None, str | None] = (None,
                             data = ids[a:b].astype("<u2") if len(side.tokens) <= 1 << 16 else ids[a:b]
                             # Low and high bytes apart.
                             rows.append((doc, h, part, w * window, k, press(np.ascontiguousarray(data.view(np.uint8).reshape(len(data), -1).T).tobytes())))
-                            size += len(rows[-1][-1])
-                if size > 1 << 24:
-                    yield _batch(rows, EVENTS)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, EVENTS)
+            return _batch(rows, EVENTS)
+
+        for batch in batches:
+            held, size = [], 0
+            for doc, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                held.append((doc, h, text.as_py()))
+                size += len(held[-1][2] or "")
+                if size > TOGETHER:
+                    yield encoded(held)
+                    held, size = [], 0
+            if held:
+                yield encoded(held)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, EVENTS)
 
@@ -255,15 +302,15 @@ def _streamed(batches: Iterator[pa.RecordBatch], both: tuple[_Side, _Side]) -> I
         yield key[0], copies, machine, machine.closed() if open_at is not None else None, True
 
 
-def _sorted_events(docs: DataFrame, paths: tuple[str | None, str | None], window: int) -> DataFrame:
-    chunks = chunks_for(docs)
-    return token_events(docs, paths, window).repartition(chunks, "doc_id", "h", "part").sortWithinPartitions("doc_id", "h", "part", "offset", "side")
+def _sorted_events(docs: DataFrame, paths: tuple[str | None, str | None], window: int, chunks: int) -> DataFrame:
+    parts = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return token_events(docs, paths, window).repartition(parts, "doc_id", "h", "part").sortWithinPartitions("doc_id", "h", "part", "offset", "side")
 
 
 def chunks_for(docs: DataFrame) -> int:
     """Enough chunks that each has about ``CHUNK`` bytes of text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK))
+    return max(1, -(-size // CHUNK))
 
 
 GROUPS = "doc_id long, start long, end long, a_ids array<long>, b_ids array<long>"
@@ -288,7 +335,7 @@ def aligned_groups(docs: DataFrame, a_path: str | None = None, b_path: str | Non
             if last:
                 start = 0
 
-    return _sorted_events(docs, paths, window).mapInArrow(run, GROUPS)
+    return _sorted_events(docs, paths, window, 1).mapInArrow(run, GROUPS)
 
 
 MADE = "chunk int, seq long, pair long, n long, doc_id long, copies int, last boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
@@ -297,15 +344,19 @@ MADE = "chunk int, seq long, pair long, n long, doc_id long, copies int, last bo
 def _swept(docs: DataFrame, paths: tuple[str | None, str | None], window: int) -> DataFrame:
     """Rows of documents (``links``: their linked pairs in one window, with how often) and counts of pairs (``pair``, ``n``) of each chunk."""
 
+    chunks = chunks_for(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, chunk = sides(paths), TaskContext.get().partitionId()
+        both, part = sides(paths), TaskContext.get().partitionId()
+        chunk = part % chunks
         size_a, size_b = (len(s.tokens) for s in both)
         # The text of each id and what follows it: A before "," or "|", B before "," or ";".
         shown = np.array([f"{i}{c}" for c, size in ((",", size_a), ("|", size_a), (",", size_b), (";", size_b)) for i in range(size)], object)
         press = zstandard.ZstdCompressor(level=1).compress
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows: list[tuple] = []
-        waiting = bytes_waiting = seq = groups = 0
+        waiting = bytes_waiting = groups = 0
+        seq = part << 32
         digest, late = hashlib.sha256(), ""
 
         def counted() -> pa.RecordBatch:
@@ -350,7 +401,7 @@ def _swept(docs: DataFrame, paths: tuple[str | None, str | None], window: int) -
         if held:
             yield counted()
 
-    return _sorted_events(docs, paths, window).mapInArrow(run, MADE)
+    return _sorted_events(docs, paths, window, chunks).mapInArrow(run, MADE)
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
