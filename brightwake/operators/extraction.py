@@ -12,7 +12,7 @@ from ..functions.records import _FIELD_SQL, FIELDS, report_text, stated
 from ..functions.text import EVIDENCE_SQL, evidence, normalize_whitespace, strip_html
 from ..plans.model import FIRST_YEAR, GENERAL, LAST_YEAR, Universe, modelled, query, tables
 from ..sources.store import stored_table
-from .dedup import weighted_ratio
+from .pairing import weighted_ratio
 from .evaluate import per_label
 
 #: Most members of a dimension whose names are looked for; the list is part of the plan.

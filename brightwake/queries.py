@@ -3,4 +3,4 @@
 from .functions import classify, dates, records, resolve, text, urls  # noqa: F401
 from .operators import aggregates, audit, changes, dedup, evaluate, extraction, filters, groups, more, ranking  # noqa: F401
 from .plans import nlq  # noqa: F401
-from .streaming import ingest  # noqa: F401
+from .streaming import ingest, sync  # noqa: F401

@@ -21,8 +21,20 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/brightwake/{label}-{uuid.uuid4().hex}"
 
 
-def stored_table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to a shared table and read back."""
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to a shared table and read back, and the table's folder."""
     path = work_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored_table(df: DataFrame, label: str) -> DataFrame:
+    """The same without the folder, for tables that later plans read."""
+    return stored(df, label)[0]
+
+
+def drop(df: DataFrame, path: str) -> None:
+    """Delete the folder of a stored table that no later plan reads."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
