@@ -87,32 +87,28 @@ class KnownKeys(StatefulProcessor):
 def decided(rows: DataFrame) -> DataFrame:
     """(post, reason) of every post of one run, null if it is taken in, from its rows and those of known keys.
 
-    A post waits for those before it that share a key; as soon as one of them is
-    taken in it is a duplicate. Each round looks once at every key.
+    A post is taken in if none of its keys is known and no earlier one that shares a
+    key is taken in; it waits for those that are open. Each round looks once at every
+    key. Which key gives the reason is looked up when all is decided.
     """
     known = rows.where("post = -1").select("kind", "key", F.col("bits").alias("known"))
-    reason = F.coalesce(*(F.when(F.array_contains("hits", name), F.lit(name)) for name, _, _ in REASONS))
-    hit = lambda bits: F.array_compact(F.array(*(F.when((F.col("kind") == kind) & (bits.bitwiseAND(b) > 0), F.lit(name)) for name, kind, b in REASONS)))
-    posts = rows.where("post <> -1").select("kind", "key", "post").distinct()
-    hits = posts.join(known, ["kind", "key"], "left").select("kind", "key", "post", hit(F.coalesce("known", F.lit(0))).alias("hits"))
-    each, at_each = stored(hits, "sync-keys")
-    told, at_told = stored(each.groupBy("post").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")).select("post", reason.alias("reason"), (F.size("hits") > 0).alias("done")), "sync-told")
-    bits = F.create_map(*(F.lit(x) for item in GIVES.items() for x in item))
-    while not told.where("not done").isEmpty():
+    each, at_each = stored(rows.where("post <> -1").select("kind", "key", "post").distinct().join(known, ["kind", "key"], "left"), "sync-keys")
+    hits = lambda bits: F.array_compact(F.array(*(F.when((F.col("kind") == kind) & (bits.bitwiseAND(b) > 0), F.lit(name)) for name, kind, b in REASONS)))
+    known_hit = F.max(F.size(hits(F.coalesce("known", F.lit(0)))) > 0)
+    told, at_told = stored(each.groupBy("post").agg(F.when(known_hit, False).alias("taken")), "sync-told")
+    while not told.where("taken is null").isEmpty():
         state = each.select("kind", "key", "post").join(told, "post")
-        taken = F.min(F.when(F.col("done") & F.col("reason").isNull(), F.col("post"))).alias("taken")
-        per_key = state.groupBy("kind", "key").agg(taken, F.min(F.when(~F.col("done"), F.col("post"))).alias("waiting"))
-        mine = state.where("not done").join(per_key, ["kind", "key"])
-        after = F.col("taken") < F.col("post")
-        seen = mine.select("post", F.when(after, hit(bits[F.col("kind")])).otherwise(F.array().cast("array<string>")).alias("hits"), (F.col("waiting") < F.col("post")).alias("waits"))
-        now = seen.groupBy("post").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.max("waits").alias("waits"))
-        # Others that it still waits for could give an earlier reason.
-        judged = now.select("post", F.when(~F.col("waits"), reason).alias("new"), (~F.col("waits")).alias("ready"))
-        step = told.join(judged, "post", "left").select("post", F.coalesce("reason", "new").alias("reason"), (F.col("done") | F.coalesce("ready", F.lit(False))).alias("done"))
-        next_, path = stored(step, "sync-told")
+        per_key = state.groupBy("kind", "key").agg(F.min(F.when(F.col("taken"), F.col("post"))).alias("first"), F.min(F.when(F.col("taken").isNull(), F.col("post"))).alias("waiting"))
+        seen = state.where("taken is null").join(per_key, ["kind", "key"]).groupBy("post").agg(F.max(F.coalesce(F.col("first") < F.col("post"), F.lit(False))).alias("hit"), F.max(F.col("waiting") < F.col("post")).alias("waits"))
+        now = F.coalesce("taken", F.when(F.col("hit"), False).when(~F.col("waits"), True))
+        next_, path = stored(told.join(seen, "post", "left").select("post", now.alias("taken")), "sync-told")
         drop(told, at_told)
         told, at_told = next_, path
-    return told.select("post", "reason")
+    first = each.join(told.where("taken"), "post").groupBy("kind", "key").agg(F.min("post").alias("first"))
+    gives = F.create_map(*(F.lit(x) for item in GIVES.items() for x in item))
+    bits = F.coalesce("known", F.lit(0)).bitwiseOR(F.when(F.col("first") < F.col("post"), gives[F.col("kind")]).otherwise(0))
+    found = each.join(first, ["kind", "key"], "left").groupBy("post").agg(F.flatten(F.collect_list(hits(bits))).alias("hits"))
+    return found.select("post", F.coalesce(*(F.when(F.array_contains("hits", name), F.lit(name)) for name, _, _ in REASONS)).alias("reason"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
