@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,57 +11,8 @@ from ..functions.records import _FIELD_SQL, FIELDS, report_text, stated
 from ..functions.text import EVIDENCE_SQL, evidence, normalize_whitespace, strip_html
 from ..plans.model import FIRST_YEAR, GENERAL, LAST_YEAR, Universe, modelled, query, tables
 from ..sources.store import stored_table
-from .pairing import weighted_ratio
 from .evaluate import per_label
-
-#: Most members of a dimension whose names are looked for; the list is part of the plan.
-MEMBERS = 10_000
-#: Least score of a name that is only similar.
-SIMILAR = 80
-
-
-def named_members(members: DataFrame, aliases: dict[str, tuple[str, ...]] | None = None) -> list[tuple[str, tuple[str, ...]]]:
-    """(code, terms in lower case, the code itself first) of a dimension's members (code)."""
-    codes = [r["code"] for r in members.select("code").distinct().orderBy("code").limit(MEMBERS + 1).collect()]
-    if len(codes) > MEMBERS:
-        raise ValueError(f"more than {MEMBERS} members; join their names as a table instead")
-    return [(c, tuple(t.lower() for t in (c, *(aliases or {}).get(c, ())))) for c in codes]
-
-
-def mentioned(text: str | None, names: list[tuple[str, tuple[str, ...]]]) -> list[dict]:
-    """Places of each member's first term that occurs; places inside a longer one are none; without any, the most similar full name."""
-    lower = (text or "").lower()
-    if not lower.strip():
-        return []
-    spans = []
-    for code, terms in names:
-        term = next((t for t in terms if t and t in lower), None)
-        at = lower.find(term) if term else -1
-        while at >= 0:
-            spans.append((at, -(at + len(term)), code, term))
-            at = lower.find(term, at + 1)
-    found, first, last = [], 0, 0  # of the span that ends last so far
-    for start, minus_end, code, term in sorted(spans):
-        end = -minus_end
-        if not (end <= last and end - start < last - first):
-            found.append({"code": code, "start": start, "term": term, "score": 100.0})
-        if end > last:
-            first, last = start, end
-    if not found:
-        score, code, term = max(((weighted_ratio(lower, terms[0]), code, terms[0]) for code, terms in names), key=lambda m: m[0], default=(0.0, "", ""))
-        if score >= SIMILAR:
-            found.append({"code": code, "start": None, "term": term, "score": score})
-    return found
-
-
-def mentions(text: Column, names: list[tuple[str, tuple[str, ...]]]) -> Column:
-    """Array of (code, start, term, score); similar names have no start. Empty for null texts."""
-
-    @F.pandas_udf("array<struct<code:string,start:int,term:string,score:double>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: mentioned(t, names))
-
-    return found(text)
+from .mentions import mentions, named
 
 
 def _held_by() -> Column:
@@ -74,20 +24,19 @@ _MENTION_SQL = f"FROM dep JOIN (SELECT id, lower('Held by ' || department_displa
 
 @modelled("c18_department_mentions", f"SELECT id, code, (strpos(body, lower(code) || ';') - 1)::INT AS start, 100.0::DOUBLE AS score {_MENTION_SQL}")
 def department_mentions(u: Universe, spark: SparkSession) -> DataFrame:
-    each = u.activities.select("id", F.explode(mentions(_held_by(), named_members(u.members))).alias("m"))
-    return each.select("id", "m.code", "m.start", "m.score")
+    return mentions(u.activities.select("id", _held_by().alias("text")), named(u.members)).select("id", "code", "start", "score")
 
 
 #: Kinds of entity, the field that states them and how sure that is.
 ENTITIES = (("VENUE", "venue", 0.85), ("PERSON", "speaker", 0.85), ("ORG", "organizer", 0.8))
 
 
-def entities(records: DataFrame, names: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """(id, type, text, confidence) of records (id, text): each entity of a record once, with its highest confidence."""
+def entities(records: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, type, text, confidence) of records (id, text): each entity of a record once, with its highest confidence; ``names`` as ``mentions`` has them."""
     text = F.col("text")
     fields = [F.struct(F.lit(kind).alias("type"), stated(text, FIELDS[field]).alias("text"), F.lit(sure).alias("confidence")) for kind, field, sure in ENTITIES]
-    departments = F.transform(mentions(text, names), lambda m: F.struct(F.lit("ORG").alias("type"), m["code"].alias("text"), (m["score"] / 100).alias("confidence")))
-    each = records.select("id", F.explode(F.concat(F.array(*fields), departments)).alias("e")).select("id", "e.*").where("text is not null")
+    stated_ = records.select("id", F.explode(F.array(*fields)).alias("e")).select("id", "e.*").where("text is not null")
+    each = stated_.union(mentions(records, names).select("id", F.lit("ORG"), "code", F.col("score") / 100))
     return each.groupBy("id", "type", "text").agg(F.max("confidence").alias("confidence"))
 
 
@@ -100,7 +49,7 @@ def entities(records: DataFrame, names: list[tuple[str, tuple[str, ...]]]) -> Da
 def enriched(u: Universe, spark: SparkSession) -> DataFrame:
     """Entities of each activity: venue, person and organizer that its sentences state, departments that it mentions."""
     told = u.activities.select("id", F.concat_ws(" ", report_text(), _held_by()).alias("text"))
-    return entities(told, named_members(u.members))
+    return entities(told, named(u.members))
 
 
 def listed_items(html: Column, block: str, title: str, date: str) -> Column:

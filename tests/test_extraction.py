@@ -2,15 +2,48 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from brightwake.operators import extraction, ranking
+from brightwake.operators import extraction, mentions, ranking
+from brightwake.operators.pairing import weighted_ratio
 
 NAMES = [("CS", ("computer science", "cs")), ("AI", ("applied computer science", "ai")), ("ME", ("mechanics",))]
 
 
+def mentioned(text: str | None, names: list[tuple[str, tuple[str, ...]]]) -> list[dict]:
+    """Places of each member's first term that occurs; places inside a longer one are none; without any, the most similar full name."""
+    lower = (text or "").lower()
+    if not lower.strip():
+        return []
+    spans = []
+    for code, terms in names:
+        term = next((t for t in terms if t and t in lower), None)
+        at = lower.find(term) if term else -1
+        while at >= 0:
+            spans.append((at, -(at + len(term)), code, term))
+            at = lower.find(term, at + 1)
+    found, first, last = [], 0, 0  # of the span that ends last so far
+    for start, minus_end, code, term in sorted(spans):
+        end = -minus_end
+        if not (end <= last and end - start < last - first):
+            found.append({"code": code, "start": start, "term": term, "score": 100.0})
+        if end > last:
+            first, last = start, end
+    if not found:
+        score, code, term = max(((weighted_ratio(lower, terms[0]), code, terms[0]) for code, terms in names), key=lambda m: m[0], default=(0.0, "", ""))
+        if score >= mentions.SIMILAR:
+            found.append({"code": code, "start": None, "term": term, "score": score})
+    return found
+
+
+def frame(spark, names=NAMES):
+    return spark.createDataFrame([(code, rank, term) for code, terms in names for rank, term in enumerate(terms)], "code string, rank int, term string")
+
+
 def places(text):
-    return [(m["code"], m["start"], m["score"]) for m in extraction.mentioned(text, NAMES)]
+    return [(m["code"], m["start"], m["score"]) for m in mentioned(text, NAMES)]
 
 
 def test_mentions_keep_the_longest_place():
@@ -30,12 +63,12 @@ def test_places_agree_with_all_pairs_of_spans():
     for text in ("abcab", "aabbcca", "bcabcabcb", "cab"):
         spans = [(i, i + len(t), t) for t, _ in names for i in range(len(text)) if text.startswith(t, i)]
         want = sorted((s, t) for s, e, t in spans if not any(s2 <= s and e <= e2 and e2 - s2 > e - s for s2, e2, _ in spans))
-        assert sorted((m["start"], m["code"]) for m in extraction.mentioned(text, names)) == want
+        assert sorted((m["start"], m["code"]) for m in mentioned(text, names)) == want
 
 
 def test_each_entity_once(spark):
     text = "It was held in the Mechanics. A talk by Dr. Ann Lee. Organised by CS. It was held in the Mechanics by mechanics and CS."
-    found = extraction.entities(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), NAMES).collect()
+    found = extraction.entities(spark.createDataFrame([(1, text), (2, None)], "id long, text string"), frame(spark)).collect()
     assert sorted(map(tuple, found)) == [(1, "ORG", "CS", 1.0), (1, "ORG", "ME", 1.0), (1, "PERSON", "Dr. Ann Lee", 0.85), (1, "VENUE", "Mechanics", 0.85)]
 
 
@@ -52,3 +85,32 @@ def test_numbering_over_parts(spark):
     for g in range(3):
         own = sorted((r["o"], r["place"]) for r in found if r["g"] == g)
         assert [p for _, p in own] == list(range(1, len(own) + 1))
+
+
+def compared(spark, texts, names):
+    names = sorted(names)
+    records = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("*", "'x' AS code")
+    got = sorted((r.id, r.code, -1 if r.start is None else r.start, r.term, round(r.score, 4)) for r in mentions.mentions(records, frame(spark, names)).collect())
+    want = sorted((i, m["code"], -1 if m["start"] is None else m["start"], m["term"], round(m["score"], 4)) for i, t in enumerate(texts) for m in mentioned(t, names))
+    assert got == want
+
+
+def test_mentions_of_a_table_equal_those_of_each_text(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["applied", "computer", "science", "cs", "ai", "mechanics", "mechanicz", "of", "art", "party", "élan", "sciences"]
+    names = [(f"D{i:02}", tuple(dict.fromkeys(" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(rng.randint(1, 3))))) for i in range(25)]
+    texts = [" ".join(rng.choices([*words, "Xyz", "QQ", "MECHANICAL"], k=rng.randint(0, 9))) for _ in range(150)] + [None, "", "   ", "mechnics artz", "zzzz", "word " * 400]
+    compared(spark, texts, NAMES)
+    compared(spark, texts, names)
+    # Names in several blocks.
+    monkeypatch.setattr(mentions, "BLOCK", 7)
+    compared(spark, texts, names)
+    assert mentions.mentions(spark.createDataFrame([(1, "x")], "id long, text string"), frame(spark).limit(0)).count() == 0
+
+
+def test_a_hundred_thousand_names(spark):
+    names = spark.range(100_000).selectExpr("concat('N', id) AS code", "0 AS rank", "concat('unit ', id, ' of works') AS term")
+    texts = [(i, f"The Unit {i * 37} of Works and unit {i} of works met.") for i in range(50)] + [(99, "unit 123456789 of works")]
+    got = mentions.mentions(spark.createDataFrame(texts, "id long, text string"), names).collect()
+    assert {(r.id, r.code) for r in got if r.start is not None} == {(i, f"N{k}") for i in range(50) for k in (i, 37 * i)}
+    assert [(r.id, r.start) for r in got if r.start is None] == [(99, None)]
