@@ -20,3 +20,11 @@ def test_tfidf_of_words_and_pairs(spark):
     for (i, t), r in found.items():
         assert (r.tf, r.df) == (tf[i][t], df[t])
         assert abs(r.weight - raw[i, t] / norm[i]) < 1e-12
+
+
+def test_terms_are_counted_before_they_are_shuffled(spark):
+    rows = [(1, "a1 b1 a1 b1"), (1, "b1 a1"), (2, None), (3, "!"), (4, "zz")]
+    counts = more.counted_terms(spark.createDataFrame(rows, "id long, text string"))
+    assert sorted(map(tuple, counts.collect())) == [(1, "a1", 3), (1, "a1 b1", 2), (1, "b1", 3), (1, "b1 a1", 2), (4, "zz", 1)]
+    plan = more.tfidf(spark.createDataFrame(rows, "id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "Join" not in plan
