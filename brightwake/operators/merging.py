@@ -81,6 +81,9 @@ def repointed(rows: DataFrame, key: Sequence[str], moved: DataFrame) -> DataFram
     that are alike in that, the smallest. Null keys are alike.
     """
     others = [c for c in rows.columns if c != "id" and c not in key]
+    if not others:
+        map_ = moved.select("id", "canonical")
+        return rows.join(map_, "id", "left").select(F.coalesce("canonical", "id").alias("id"), *key).distinct().select(*rows.columns)
     packed = rows.select(F.col("id").alias("at"), F.struct(*key).alias("key"), F.struct(F.lit(0).alias("none"), *others).alias("rest"))
     map_ = moved.select(F.col("id").alias("at"), F.col("canonical").alias("target"))
     joined = packed.join(map_, "at", "left").select(F.coalesce("target", "at").alias("target"), "key", F.struct(F.col("target").isNotNull().alias("moved"), "at", "rest").alias("row"))
@@ -144,29 +147,29 @@ def entered_twice(spark: SparkSession, d: str) -> Records:
         "id", F.concat_ws(" ", "title", F.col("customer").cast("string")).alias("title"), "description", "period", "url", F.when(F.col("id") % 8 != 0, F.date_format("day", "yyyy-MM-dd")).alias("day_text"),
         F.when(F.col("id") % 12 != 0, F.col("academic_year")).alias("academic_year"), "department_display", "stakeholder_display", F.when(F.col("id") % 3 == 0, " ").otherwise("done").alias("outcome"), F.concat(F.lit("seen "), number).alias("evidence"),
     )
-    entries = F.explode(F.when(F.col("id") % 8 == 0, F.array(F.lit(1), F.lit(2))).when(F.col("id") % 4 == 0, F.array(F.lit(1))))
-    again = lambda df: df.select("*", entries.alias("k")).withColumn("of", F.col("id")).withColumn("id", -(F.col("id") * 2 + F.col("k")))
-    copy = again(facts)
-    copies = copy.select(
-        "id", F.concat(F.upper("title"), F.lit("!")).alias("title"), F.when(F.col("of") % 16 == 0, F.concat("description", F.lit(" again"))).otherwise("short").alias("description"), "period", F.concat(F.lit("https://example.org/b/"), F.col("k").cast("string")).alias("url"),
-        F.concat(F.lit("day "), F.col("k").cast("string")).alias("day_text"), F.coalesce("academic_year", F.lit("1999-00")).alias("academic_year"), "department_display", "stakeholder_display", F.lit("won").alias("outcome"), F.when(F.col("k") == 1, F.col("evidence")).otherwise("told later").alias("evidence"),
-    )
+    # Own rows are entry 0, so that what they come from is computed once.
+    entries = F.explode(F.when(F.col("id") % 8 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).when(F.col("id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    entered = lambda df: df.select("*", entries.alias("k")).withColumn("of", F.col("id")).withColumn("id", F.when(F.col("k") == 0, F.col("id")).otherwise(-(F.col("id") * 2 + F.col("k"))))
+    changes = {
+        "title": F.concat(F.upper("title"), F.lit("!")), "description": F.when(F.col("of") % 16 == 0, F.concat("description", F.lit(" again"))).otherwise("short"), "url": F.concat(F.lit("https://example.org/b/"), F.col("k").cast("string")),
+        "day_text": F.concat(F.lit("day "), F.col("k").cast("string")), "academic_year": F.coalesce("academic_year", F.lit("1999-00")), "outcome": F.lit("won"), "evidence": F.when(F.col("k") == 1, F.col("evidence")).otherwise("told later"),
+    }
 
-    def both(df: DataFrame, name: str, changed: Column) -> DataFrame:
-        return df.unionByName(again(df).withColumn(name, changed).drop("k", "of"))
+    def both(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
+        return entered(df).select(*(F.when(F.col("k") == 0, F.col(c)).otherwise(changed[c]).alias(c) if c in changed else F.col(c) for c in df.columns))
 
     k = F.col("k")
     less = F.round(F.col("confidence") - k * 0.01, 4)
     children = {
-        "categories": both(u.categories.select("id", "code", "confidence"), "confidence", less),
-        "departments": both(u.departments.select("id", "code", "confidence"), "confidence", less),
-        "stakeholders": both(u.stakeholders.select("id", "code").distinct(), "code", F.when(k == 2, "GUESTS").otherwise(F.col("code"))),
-        "entities": both(line.select("id", F.col("l_suppkey").alias("supplier")).distinct(), "supplier", F.col("supplier") + k % 2),
-        "keywords": both(line.select("id", "word").distinct(), "word", F.col("word")),
-        "sources": both(line.select("id", F.concat(F.lit("https://example.org/p/"), F.col("l_partkey").cast("string")).alias("url")).distinct(), "url", F.when(k == 2, F.concat("url", F.lit("?v=2"))).otherwise(F.col("url"))),
-        "matches": both(line.select("id", F.col("l_linenumber").cast("long").alias("post")).distinct(), "post", F.col("post") + k),
+        "categories": both(u.categories.select("id", "code", "confidence"), {"confidence": less}),
+        "departments": both(u.departments.select("id", "code", "confidence"), {"confidence": less}),
+        "stakeholders": both(u.stakeholders.select("id", "code").distinct(), {"code": F.when(k == 2, "GUESTS").otherwise(F.col("code"))}),
+        "entities": both(line.select("id", F.col("l_suppkey").alias("supplier")).distinct(), {"supplier": F.col("supplier") + k % 2}),
+        "keywords": both(line.select("id", "word").distinct(), {"word": F.col("word")}),
+        "sources": both(line.select("id", F.concat(F.lit("https://example.org/p/"), F.col("l_partkey").cast("string")).alias("url")).distinct(), {"url": F.when(k == 2, F.concat("url", F.lit("?v=2"))).otherwise(F.col("url"))}),
+        "matches": both(line.select("id", F.col("l_linenumber").cast("long").alias("post")).distinct(), {"post": F.col("post") + k}),
     }
-    return Records(facts.unionByName(copies), children)
+    return Records(both(facts, changes), children)
 
 
 _ENTERED = r"""

@@ -10,7 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from brightwake.operators.merging import CHILD_KEYS, HISTORY, SCALARS, duplicates_of, merge_once, merge_plan, merged_facts, repointed
+from brightwake.operators.merging import CHILD_KEYS, HISTORY, SCALARS, duplicates_of, entered_twice, merge_once, merge_plan, merged_facts, repointed
 from brightwake.sources.versions import Conflict, Versions, create_once, notify_once, single_flight
 
 FACT = "id long, title string, description string, period string, " + ", ".join(f"{s} string" for s in SCALARS) + ", evidence string, target string, at int"
@@ -146,3 +146,14 @@ def test_notice_is_given_once(spark, tmp_path):
     assert notify_once(spark, str(tmp_path), runs(one, ("b", "failed", "2024-01-02", 5), ("c", "completed", "2024-01-03", 0))) == "a"
     assert notify_once(spark, str(tmp_path), runs(one)) is None
     assert notify_once(spark, str(tmp_path), runs(one, ("d", "completed", "2024-01-04", 1))) == "d"
+
+
+def test_entries_and_bare_child_tables_are_computed_once(spark, data):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    held = entered_twice(spark, data)
+    assert not any("Union" in plan(df) for df in (held.facts, *(df for name, df in held.children.items() if name != "stakeholders")))
+    moved = spark.createDataFrame([(2, 1), (3, 1)], "id long, canonical long")
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (2, None), (4, "a"), (4, "a")], "id long, word string")
+    found = repointed(rows, ("word",), moved)
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, "a"), (1, None), (4, "a")]
+    assert "SortAggregate" not in plan(found)
