@@ -20,8 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -65,20 +64,21 @@ class KnownKeys(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._known = handle.getValueState("known", "bits int")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802 - Spark's name
-        before = self._known.get()[0] if self._known.exists() else 0
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values) -> Iterator[Row]:  # noqa: N802 - Spark's name
+        # Most keys have one row, so rows come one by one; a frame for each would cost more than all the rest.
+        held = self._known.get()
+        before = held[0] if held else 0
         bits, asked = before, False
-        for part in rows:
-            for b in part.loc[part["bits"] > 0, "bits"].unique():
-                bits |= int(b)
-            posts = part[part["bits"] == 0]
-            if len(posts):
+        for r in rows:
+            if r["bits"] > 0:
+                bits |= r["bits"]
+            else:
                 asked = True
-                yield posts
+                yield r
         if bits != before:
             self._known.update((bits,))
         if asked and bits:
-            yield pd.DataFrame({"kind": [key[0]], "key": [key[1]], "post": [-1], "place": [1], "url": [None], "text": [None], "bits": [bits]})
+            yield Row(kind=key[0], key=key[1], post=-1, place=1, url=None, text=None, bits=bits)
 
     def close(self) -> None:
         pass
@@ -163,7 +163,7 @@ def sync(posts: DataFrame, folder: str, staged: DataFrame | None = None, fail: C
     new = keyed(posts.select("post", "url", "text")).select("*", F.lit(0).alias("bits"))
     feed = spark.readStream.schema(KEYS).option("recursiveFileLookup", True).parquet(keys)
     both = feed.select("kind", "key", F.lit(-1).cast("long").alias("post"), F.lit(1).alias("place"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("text"), "bits").unionByName(new)
-    answered = both.groupBy("kind", "key").transformWithStateInPandas(KnownKeys(), _ROWS, "append", "none")
+    answered = both.groupBy("kind", "key").transformWithState(KnownKeys(), _ROWS, "append", "none")
 
     def take(batch: DataFrame, at: int) -> None:
         held, path = stored(batch, "sync-batch")
@@ -215,11 +215,13 @@ PARTS = 3
 def synced_pages(spark: SparkSession, d: str) -> str:
     """Take all pages in ``PARTS`` runs, as posts of their URL and title; one in ten is staged before. Returns the folder of the tables."""
     folder = work_folder(spark, "sync")
-    posts = tables(spark, d, "pages").join(page_titles(spark, d).select(F.col("id").alias("page_id"), "title"), "page_id").select(F.col("page_id").alias("post"), "url", F.col("title").alias("text"))
+    # Pages are read once; every run takes its part from this table.
+    posts, at = stored(page_titles(spark, d).select(F.col("id").alias("post"), "url", F.col("title").alias("text")), "sync-posts")
     for k in range(PARTS):
         posts.where((F.col("post") % 10 != 0) & (F.col("post") % PARTS == k)).write.parquet(f"{folder}/arrived/{k}")
         arrived = spark.readStream.schema(POST).option("recursiveFileLookup", True).parquet(f"{folder}/arrived")
         sync(arrived, folder, posts.where("post % 10 = 0"))
+    drop(posts, at)
     return folder
 
 

@@ -88,3 +88,26 @@ def test_a_killed_run_is_run_again(spark, tmp_path, step):
     # Nothing new: nothing changes.
     sync.sync(posts, folder, staged)
     assert sync.decisions(spark, folder).count() == sum(map(len, runs))
+
+
+def test_state_is_asked_once_a_key_and_rows_need_no_frames():
+    from pyspark.sql import Row
+
+    class Store:
+        def __init__(self, held):
+            self.held, self.calls = held, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    row = lambda post, bits: Row(kind="id", key="7", post=post, place=1, url=None, text=None, bits=bits)
+    for held, rows, after, calls, told in ((None, [row(7, 0)], None, ["get"], [7]), ((1,), [row(7, 0)], (1,), ["get"], [7, -1]), (None, [row(-1, 1), row(-1, 2)], (3,), ["get", "update"], [])):
+        keys = sync.KnownKeys()
+        keys._known = store = Store(held)
+        found = list(keys.handleInputRows(("id", "7"), iter(rows), None))
+        assert (store.held, store.calls, [r["post"] for r in found]) == (after, calls, told)
