@@ -60,3 +60,18 @@ def test_examples_are_the_smallest_ids_and_cut_before_the_shuffle(spark):
     with contextlib.redirect_stdout(io.StringIO()) as shown:
         result.explain()
     assert "WindowGroupLimit" in shown.getvalue()
+
+
+def test_facts_are_read_once_and_bounds_lose_no_example(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    facts, categories, sources = inputs(spark, [(i // 2, "Title", "short" if i > 900 else None, None, None, None, None, "Before 1996", None, None, None, None, 1, "m") for i in range(1000)] + [(None, None, None, None, None, None, None, "Before 1996", None, None, None, None, 1, "m")], [], [(0, "u", "web"), (0, " ", " "), (0, "https://x.org", "web"), (1, "u", "")])
+    found = told(audits(facts.mapInArrow(seen, FACT), categories, sources, today(), ()))
+    assert read.value == 1001
+    assert found[("description", "empty", "")] == (902, [0, 0, 1, 1, 2]) and found[("description", "short", "")] == (99, [450, 451, 451, 452, 452])
+    assert found[("source", "with_sources", "")] == (4, None) and found[("source", "kind", "web")] == (4, None) and found[("source", "distinct_urls", "")] == (2, None)
