@@ -33,10 +33,11 @@ ENTITIES = (("VENUE", "venue", 0.85), ("PERSON", "speaker", 0.85), ("ORG", "orga
 
 def entities(records: DataFrame, names: DataFrame) -> DataFrame:
     """(id, type, text, confidence) of records (id, text): each entity of a record once, with its highest confidence; ``names`` as ``mentions`` has them."""
-    text = F.col("text")
-    fields = [F.struct(F.lit(kind).alias("type"), stated(text, FIELDS[field]).alias("text"), F.lit(sure).alias("confidence")) for kind, field, sure in ENTITIES]
-    stated_ = records.select("id", F.explode(F.array(*fields)).alias("e")).select("id", "e.*").where("text is not null")
-    each = stated_.union(mentions(records, names).select("id", F.lit("ORG"), "code", F.col("score") / 100))
+    # Both ways read one stored table. A pattern is a column of its own there: within a generator Spark would match it once for each use.
+    kept = stored_table(records.select("id", "text", *(stated(F.col("text"), FIELDS[field]).alias(field) for _, field, _ in ENTITIES)), "entity-texts")
+    fields = F.array_compact(F.array(*(F.when(F.col(field).isNotNull(), F.struct(F.lit(kind).alias("type"), F.col(field).alias("text"), F.lit(sure).alias("confidence"))) for kind, field, sure in ENTITIES)))
+    stated_ = kept.select("id", F.explode(fields).alias("e")).select("id", "e.*")
+    each = stated_.union(mentions(kept.select("id", "text"), names).select("id", F.lit("ORG"), "code", F.col("score") / 100))
     return each.groupBy("id", "type", "text").agg(F.max("confidence").alias("confidence"))
 
 

@@ -108,6 +108,24 @@ def test_mentions_of_a_table_equal_those_of_each_text(spark, monkeypatch):
     assert mentions.mentions(spark.createDataFrame([(1, "x")], "id long, text string"), frame(spark).limit(0)).count() == 0
 
 
+def test_records_are_read_once_and_repeated_ids_are_texts_of_their_own(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = [(1, "mechanicz"), (1, "art by ai"), (2, "It was held in the Hall. No names"), (3, None), (4, "mechanics and applied computer science")]
+    records = spark.createDataFrame(texts, "id long, text string")
+    found = extraction.entities(records.mapInArrow(seen, records.schema), frame(spark)).collect()
+    assert read.value == len(texts)
+    assert {(r.id, r.type, r.text) for r in found} == {(1, "ORG", "ME"), (1, "ORG", "AI"), (2, "VENUE", "Hall"), (4, "ORG", "ME"), (4, "ORG", "AI")}
+    # The same from names in several blocks.
+    monkeypatch.setattr(mentions, "BLOCK", 2)
+    assert sorted(extraction.entities(records, frame(spark)).collect()) == sorted(found)
+
+
 def test_a_hundred_thousand_names(spark):
     names = spark.range(100_000).selectExpr("concat('N', id) AS code", "0 AS rank", "concat('unit ', id, ' of works') AS term")
     texts = [(i, f"The Unit {i * 37} of Works and unit {i} of works met.") for i in range(50)] + [(99, "unit 123456789 of works")]
