@@ -132,3 +132,22 @@ def test_a_hundred_thousand_names(spark):
     got = mentions.mentions(spark.createDataFrame(texts, "id long, text string"), names).collect()
     assert {(r.id, r.code) for r in got if r.start is not None} == {(i, f"N{k}") for i in range(50) for k in (i, 37 * i)}
     assert [(r.id, r.start) for r in got if r.start is None] == [(99, None)]
+
+
+def test_baselines_read_the_records_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, ("rude words here" if i % 3 == 0 else "kind words there") + f" no {i}", int(i % 3 == 0), int(i % 2)) for i in range(120)] + [(500, None, 0, 0)]
+    records = spark.createDataFrame(rows, "id long, text string, toxic int, quality int")
+    held = {r.id for r in records.where("pmod(xxhash64(id, 42), 10) >= 7").select("id").collect()}
+    found = {(r.model, r.label): r for r in extraction.baselines(records.mapInArrow(seen, records.schema), ("toxic", "quality"), features=1 << 10, rounds=5).collect()}
+    assert read.value == len(rows)
+    assert {m for m, _ in found} == {"logistic", "svc", "bayes"} and len(found) == 6
+    for (_, label), r in found.items():
+        assert r.tp + r.fn == sum(1 for x in rows if x[0] in held and x[2 if label == "toxic" else 3])
+    assert all((found[(m, "toxic")].fp, found[(m, "toxic")].fn) == (0, 0) for m in ("logistic", "svc"))
