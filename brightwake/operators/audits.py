@@ -68,7 +68,7 @@ def marks(facts: DataFrame, categories: DataFrame, sources: DataFrame, today: Co
     traced = sources.groupBy("id", "kind").agg(F.count("*").alias("n")).groupBy("id").agg(F.collect_list(F.struct("kind", "n")).alias("kinds"))
     rows = facts.join(codes, "id", "left").join(traced, "id", "left")
 
-    # What several conditions need is computed once; all in one expression is too large a method to be compiled.
+    # What several conditions need is a column of its own, computed once.
     rows = rows.select(
         "id", "period", F.col("academic_year").alias("year"), "codes", "kinds", stripped(F.col("department_display")).alias("shown"),
         F.when(blank(F.col("stakeholder_display")), MISSING).otherwise(F.col("stakeholder_display")).alias("who"),
